@@ -60,3 +60,20 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: Lower-cases A-Z only, byte by byte, which is safe in UTF-8.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: ASCII white space, as bytes.strip() and bytes.split() without arguments see it too.
+SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
+
+
+def utf8(column) -> list[bytes | None]:
+    """The values of an Arrow string column as UTF-8 bytes."""
+    import pyarrow as pa
+
+    return column.cast(pa.binary()).to_pylist()
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import exact_dedup, line_dedup, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": line_dedup.OP3_SQL,
+    "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
