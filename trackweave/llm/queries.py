@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, mixing
+from . import exact_dedup, language_id, line_dedup, mixing, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": language_id.op2_language_id,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
+    "op9_sharding": sharding.op9_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
