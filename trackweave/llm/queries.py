@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, line_dedup, mixing, quality_rules, sharding
+from . import exact_dedup, language_id, line_dedup, mixing, quality_classifier, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": language_id.op2_language_id,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
