@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, line_dedup, mixing, quality_classifier, quality_rules, sharding
+from . import exact_dedup, language_id, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": language_id.op2_language_id,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op9_sharding": sharding.op9_sharding,
+    "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
