@@ -7,8 +7,9 @@ sets are one class and are represented by their smallest id.
 
 Candidates are stars: each member of a bucket is compared with the bucket's smallest id only, so their number grows
 with the members and not with their pairs. Links are confirmed on full sets. Where a bucket is not in one connected
-component after that, the pairs of its members that lie in different components, and only these, are compared too,
-so no link between members of a bucket is lost.
+component after that, the members outside its largest component are matched with those of other components too, so
+no link between members of a bucket is lost. That is done block by block: a task compares two blocks of sets at once
+and only passes on the pairs that are similar.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ BANDS, ROWS = 25, 5
 #: Words of a shingle, and least similarity in percent.
 WIDTH, PERCENT = 5, 80
 
+#: Shingles of a block of sets that is compared with another at once.
+BLOCK = 1 << 14
+
 U64 = np.uint64
 
 
@@ -64,8 +68,8 @@ class OnePermutation:
         self.donors = np.stack([rng.permutation(self.bins) for _ in range(self.bins)])
         self.salts = mixed(np.arange(1, bands + 1, dtype=U64))
 
-    def band_keys(self, hashes: np.ndarray) -> np.ndarray:
-        """A key for each band from a sorted set of hashes that is not empty."""
+    def signature(self, hashes: np.ndarray) -> np.ndarray:
+        """The MinHash of each bin of a sorted set of hashes that is not empty."""
         bins = ((hashes >> U64(32)) * U64(self.bins) >> U64(32)).astype(np.int64)
         first = np.flatnonzero(np.diff(bins, prepend=-1))
         values, filled = np.zeros(self.bins, U64), np.zeros(self.bins, bool)
@@ -74,6 +78,9 @@ class OnePermutation:
         if len(empty):
             donors = self.donors[empty]
             values[empty] = values[donors[np.arange(len(empty)), filled[donors].argmax(1)]]
+        return values
+
+    def band_keys(self, values: np.ndarray) -> np.ndarray:
         keys = self.salts.copy()
         for column in values.reshape(self.bands, self.rows).T:
             keys = mixed(keys * U64(0x9DDFEA08EB382D69) + column)
@@ -92,12 +99,62 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 n.append(len(s))
                 real = len(s) > 0 and i is not None
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if real else None)
-                bands.append(minhash.band_keys(s) if real else None)
+                bands.append(minhash.band_keys(minhash.signature(s)) if real else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "bands"])
 
     return docs.mapInArrow(each, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
 
 
+def packed(texts: DataFrame, width: int) -> DataFrame:
+    """(doc_id, hashes): the lower 32 bits of the hashes of each text's set."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, width).astype(np.uint32).tobytes() for t in utf8(b.column(1))], pa.binary())], ["doc_id", "hashes"])
+
+    return texts.mapInArrow(each, "doc_id long, hashes binary")
+
+
+def block_pairs(left: list[dict], right: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Pairs of ids of two blocks of sets (rep, root, hashes), in different components, that may be similar enough.
+
+    Intersections are counted for all pairs at once as a product of incidence matrices. Hashes of 32 bits may agree by
+    chance or fall together within a set, so two shingles are given in.
+    """
+    sets = [[np.frombuffer(x["hashes"], np.uint32) for x in side] for side in (left, right)]
+    known = np.unique(np.concatenate(sets[0]))
+    rows = []
+    for side in sets:
+        m = np.zeros((len(side), len(known)), np.float32)
+        for i, s in enumerate(side):
+            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            m[i, at[known[at] == s]] = 1
+        rows.append(m)
+    both = rows[0] @ rows[1].T + 2
+    size = np.add.outer([len(s) for s in sets[0]], [len(s) for s in sets[1]])
+    apart = np.not_equal.outer([x["root"] for x in left], [x["root"] for x in right])
+    return [(left[i]["rep"], right[j]["rep"]) for i, j in zip(*np.nonzero(apart & (100 * both >= percent * (size - both))))]
+
+
+def blocks(members: DataFrame, total: str) -> DataFrame:
+    """Rows (key, rep, root, hashes) of a key in blocks of about BLOCK shingles, of which the key has ``total``: key, block, sets."""
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col(total) / BLOCK))
+    return members.groupBy("key", block.alias("block")).agg(F.collect_list(F.struct("rep", "root", "hashes")).alias("sets"))
+
+
+def rest_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may be similar: of each key's members outside its main component, with its members of other components."""
+    every = blocks(rest, "whole").select("key", F.col("sets").alias("right"))
+    other = blocks(rest.filter("root <> main"), "outside").select("key", F.col("sets").alias("left"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(min(p), max(p)) for k in range(b.num_rows) for p in block_pairs(b.column(0)[k].as_py(), b.column(1)[k].as_py(), percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+
+    return other.join(every, "key").select("left", "right").mapInArrow(each, "a long, b long").distinct()
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose texts' full sets are similar enough."""
 
@@ -129,7 +186,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     signed = written(signatures(own, width), "signatures")
     classes = signed.filter("set_hash IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "classes")
-    reps = signed.join(classes, (signed.set_hash == classes.set_hash) & (F.col("doc_id") == F.col("rep"))).select("rep", F.col("n_shingles").alias("n"), "bands")
+    reps = written(signed.join(classes, (signed.set_hash == classes.set_hash) & (F.col("doc_id") == F.col("rep"))).select("rep", F.col("n_shingles").alias("n"), "bands"), "reps")
     banded = written(reps.select("rep", "n", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "rep", "n").distinct(), "banded")
     shared = banded.groupBy("key").agg(F.min("rep").alias("center"), F.min(F.struct("rep", "n"))["n"].alias("center_n"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
     members = written(banded.join(written(shared, "buckets"), "key"), "members")
@@ -144,10 +201,13 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     # the rest: members of a bucket in different components
     rooted = members.join(found, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
     rooted = written(rooted, "rooted")
-    open_ = written(rooted.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("key"), "open")
-    rest = written(rooted.join(open_, "key"), "rest")
-    right = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    cross = rest.join(right, "key").filter((F.col("rep") < F.col("b")) & (F.col("root") != F.col("root_b")) & alike(F.col("n"), F.col("n_b"))).select(F.col("rep").alias("a"), "b").distinct()
+    counts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    largest = counts.groupBy("key").agg(F.max(F.struct("c", "root", "n")).alias("main"), F.sum("n").alias("whole"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    largest = written(largest.select("key", F.col("main.root").alias("main"), "whole", (F.col("whole") - F.col("main.n")).alias("outside")), "largest")
+    rest = written(rooted.join(largest, "key").drop("n"), "rest")
+    unsure = written(rest.select(F.col("rep").alias("of")).distinct(), "unsure")
+    hashes = written(packed(texts.join(unsure, F.col("doc_id") == F.col("of")).select("doc_id", "text"), width), "hashes")
+    cross = rest_pairs(rest.join(hashes, F.col("rep") == F.col("doc_id")), percent)
     cross = cross.join(stars, ["a", "b"], "left_anti")
     more = written(confirmed(written(cross, "cross"), texts, width, percent), "more-links")
     if not more.isEmpty():
