@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, sharding
+from . import exact_dedup, language_id, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_language_id": language_id.op2_language_id,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
