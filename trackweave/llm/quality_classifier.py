@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,24 +191,22 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 sums[k] += contexts(np.array(ids[k], np.int64), len(both[k][1]), both[k][1])
         for k in (0, 1):
             at = np.flatnonzero(np.abs(sums[k]).sum(1))
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(list(sums[k][at]), pa.list_(pa.float64()))], ["kind", "token", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array([v.tobytes() for v in sums[k][at].astype(np.float32)], pa.binary())], ["kind", "token", "sums"])
 
-    rows = sample.select("text").mapInArrow(summed, "kind int, token int, sums array<double>").collect()  # PARTS times the vocabulary at most
+    rows = sample.select("text").mapInArrow(summed, "kind int, token int, sums binary").toArrow()  # PARTS times the vocabulary at most
     vectors = []
     for k, tokens in enumerate((words, shapes)):
         context = np.zeros((len(tokens) + 1, DIMENSIONS))
-        for r in rows:
-            if r.kind == k:
-                context[r.token] += r.sums
+        own_rows = rows.filter(pa.compute.equal(rows["kind"], k))
+        if own_rows.num_rows:
+            sums = np.frombuffer(b"".join(own_rows["sums"].to_pylist()), np.float32).reshape(-1, DIMENSIONS)
+            np.add.at(context, own_rows["token"].to_numpy(), sums)
         context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
         own = np.stack([*map(index_vector, tokens), index_vector(b"\x00other")])
         vectors.append((own / NON_ZEROS**0.5 + context).astype(np.float32))
     data = {"vectors": (words, shapes, *vectors)}
-    x, y = [], []
-    for r in featured(sample.select("label", "text"), data, "label").toLocalIterator():  # TRAIN_ROWS at most
-        x.append(r.features)
-        y.append(r.label)
-    x, y = np.array(x), np.array(y)
+    rows = featured(sample.select("label", "text"), data, "label").toArrow()  # TRAIN_ROWS at most
+    x, y = np.frombuffer(b"".join(rows["features"].to_pylist()), np.float32).reshape(rows.num_rows, -1), rows["label"].to_numpy()
     order = np.lexsort((*x.T[:3], y))  # rows come in any order
     data["network"] = vars(Network(x[order], y[order]))
     return data
@@ -220,15 +219,15 @@ def _vectors(data: dict) -> WordVectors:
 
 
 def featured(docs: DataFrame, data: dict, keep: str) -> DataFrame:
-    """Column ``keep`` (an int) and the features of the text of each row of (keep, text)."""
+    """Column ``keep`` (an int) and the features (32-bit floats) of the text of each row of (keep, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(data)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = _vectors(shared.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([vectors.pooled(t) for t in utf8(b.column(1))], pa.list_(pa.float32()))], [keep, "features"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([vectors.pooled(t).tobytes() for t in utf8(b.column(1))], pa.binary())], [keep, "features"])
 
-    return docs.mapInArrow(each, f"{keep} int, features array<float>")
+    return docs.mapInArrow(each, f"{keep} int, features binary")
 
 
 def scored(docs: DataFrame, data: dict | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

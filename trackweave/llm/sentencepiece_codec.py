@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding with a relational lattice.
 
-Texts are cut into units that no piece of the vocabulary crosses. Blocks of documents name their distinct units; each
+Texts are cut into words and these into units, neither of which a piece of the vocabulary crosses. Blocks of documents name their distinct units; each
 unit of the corpus is then encoded once: its substrings up to the longest piece's length are exploded and equi-joined
 to the piece table, the edges found are grouped by unit, and a higher-order aggregate folds them into ids. For a
 unigram vocabulary the fold is Viterbi, for the best sum of scores. A BPE vocabulary is not segmented by its best sum
@@ -28,7 +28,7 @@ from .common import documents
 #: The vocabulary of the queries.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: UTF-8 bytes of the texts of a block; units longer than LONG characters (runs of one kind of character) are encoded in their block.
-BLOCK_BYTES, LONG = 32 << 20, 48
+BLOCK_BYTES, LONG = 16 << 20, 48
 SPACE = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -52,10 +52,10 @@ class Vocabulary:
         self.longest = max(map(len, self.ids), default=1)
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
         self.bytes = {int(p[3:-1], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
-        self.cuts = self._cuts()
+        self.words, self.cuts = self._cuts()
 
-    def _cuts(self) -> str:
-        """A pattern whose matches are the units of a text. No piece may lie in two of them."""
+    def _cuts(self) -> tuple[str, str]:
+        """Patterns whose matches are the words of a text, and the units of a word. No piece may lie in two of them."""
         odd = ""
         for p in self.ids:  # letters that some piece joins with other characters count as those
             for a, b in zip(p, p[1:]):
@@ -64,13 +64,10 @@ class Vocabulary:
                 if re.match(r"[^\W\d_]", b) and re.match(rf"(?![^\W\d_]|{SPACE}).", a, re.S):
                     odd += b
         odd = "".join(map(re.escape, dict.fromkeys(odd)))
-        letter = rf"(?![{odd}])[^\W\d_]" if odd else r"[^\W\d_]"
-        other = rf"(?:[^\w{SPACE}]|_|[{odd}])" if odd else rf"(?:[^\w{SPACE}]|_)"
-        for pattern in (rf"{SPACE}*(?:{letter})+|{SPACE}*{other}+|{SPACE}+|\d", rf"{SPACE}*[^{SPACE}]+|{SPACE}+", r"[\s\S]+"):
-            found = re.compile(pattern)
-            if all(found.findall(p) == [p] for p in self.ids):
-                return pattern
-        raise ValueError("the last pattern takes every piece")
+        kinds = rf"{SPACE}*[^\W\d_{odd}]+|{SPACE}*(?:[^\w{SPACE}]|[_{odd}])+|{SPACE}+|\d"
+        words, whole = rf"{SPACE}*[^{SPACE}]+|{SPACE}+", r"[\s\S]+"
+        fits = lambda pattern: all(re.findall(pattern, p) == [p] for p in self.ids)
+        return (words if fits(words) else whole), (kinds if fits(kinds) and fits(words) else words if fits(words) else whole)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -161,7 +158,7 @@ def blocked(docs: DataFrame, vocabulary: Vocabulary, payload: bool) -> DataFrame
     A block is named by the hash of its ids and texts, and units are numbered in the order they first appear, so two
     passes over the same input agree.
     """
-    pattern, prefix = vocabulary.cuts, vocabulary.prefix
+    words, cuts, prefix = vocabulary.words, vocabulary.cuts, vocabulary.prefix
 
     def units(ids: list, texts: list[str | None]) -> pa.RecordBatch:
         name = xxhash.xxh3_64()
@@ -172,14 +169,17 @@ def blocked(docs: DataFrame, vocabulary: Vocabulary, payload: bool) -> DataFrame
         if payload:
             sink = pa.BufferOutputStream()
             table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_string())})
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
                 out.write_table(table)
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "payload"])
-        find = re.compile(pattern).findall
+        split, cut = re.compile(words).findall, re.compile(cuts).findall
+        known: set[str] = set()
         seen: dict[str, None] = {}
         for t in texts:
-            if t:
-                seen.update(dict.fromkeys(find(SPACE * prefix + t.replace(" ", SPACE))))
+            for w in split(SPACE * prefix + t.replace(" ", SPACE)) if t else ():
+                if w not in known:
+                    known.add(w)
+                    seen.update(dict.fromkeys(cut(w)))
         short = [(k, u) for k, u in enumerate(seen) if len(u) <= LONG]
         return pa.RecordBatch.from_arrays([pa.array([block] * len(short), pa.int64()), pa.array([k for k, _ in short], pa.int32()), pa.array([u for _, u in short], pa.string())], ["block", "number", "unit"])
 
@@ -208,17 +208,19 @@ def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
 
 
 def lattices(units: DataFrame, pieces: DataFrame, longest: int, *carried: str) -> DataFrame:
-    """Distinct units, each with its edges (s, e, score, id): its substrings that are pieces. ``carried`` columns are kept.
+    """Distinct units, each with its edges (cost, s, e, id; cost is the negative score): its substrings that are pieces. ``carried`` columns are kept.
 
     ``units`` should be partitioned by unit already: then nothing is shuffled here. The piece table has a fixed size
     and is broadcast.
     """
     n = F.length("unit")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - s)), lambda k: F.struct(s.alias("s"), k.alias("k")))))
-    spread = units.select("unit", *carried, F.posexplode(spans).alias("at", "span"))
-    spread = spread.select("unit", *[F.when(F.col("at") == 0, F.col(c)).alias(c) for c in carried], "at", F.col("span.s").alias("s"), (F.col("span.s") + F.col("span.k")).alias("e"), F.substring("unit", F.col("span.s") + 1, F.col("span.k")).alias("part"))
-    edges = spread.join(F.broadcast(pieces), F.col("part") == F.col("piece"), "left").filter((F.col("at") == 0) | F.col("id").isNotNull())
-    edge = F.when(F.col("id").isNotNull(), F.struct("s", "e", "score", "id"))
+    spread = units.select("unit", *carried, F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    spread = spread.select("unit", *[F.when(F.col("s") == 0, F.col(c)).alias(c) for c in carried], "s", F.substring("unit", F.col("s") + 1, F.lit(longest)).alias("rest"))
+    spread = spread.select("unit", *carried, "s", "rest", F.explode(F.sequence(F.lit(1), F.length("rest"))).alias("k"))
+    spread = spread.select("unit", *[F.when(F.col("k") == 1, F.col(c)).alias(c) for c in carried], "s", "k", F.substring("rest", F.lit(1), F.col("k")).alias("part"))
+    first = (F.col("s") == 0) & (F.col("k") == 1)
+    edges = spread.join(F.broadcast(pieces), F.col("part") == F.col("piece"), "left").filter(first | F.col("id").isNotNull())
+    edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "s", (F.col("s") + F.col("k")).alias("e"), "id"))
     return edges.groupBy("unit").agg(F.collect_list(edge).alias("edges"), *[F.first(c, ignorenulls=True).alias(c) for c in carried])
 
 
@@ -237,26 +239,40 @@ def _bytes(vocabulary: Vocabulary, char: Column) -> Column:
 
 
 def folded_merges(vocabulary: Vocabulary) -> Column:
-    """Ids of ``unit`` from ``edges`` by merging neighbours, highest score first, leftmost first."""
-    n, edges = F.length("unit"), F.col("edges")
+    """Ids of ``unit`` from ``edges`` by merging neighbours, highest score first, leftmost first.
+
+    The ends of the symbols are the bits of a number. An edge joins two neighbours if its ends are set and one bit
+    between them is; to merge them is to clear that bit. Edges are sorted once, so that the first that can merge is
+    the best.
+    """
+    n, one = F.length("unit"), F.lit(1).cast("long")
 
-    def step(ends: Column, _: Column) -> Column:
-        at = lambda x: F.array_position(ends, x)
-        joins = F.filter(edges, lambda x: (at(x["s"]) > 0) & (at(x["e"]) == at(x["s"]) + 2))
-        best = F.array_max(F.transform(joins, lambda x: F.struct(x["score"].alias("score"), (-x["s"]).alias("left"))))
-        return let(best, lambda x: F.when(x.isNull(), ends).otherwise(F.array_remove(ends, F.get(ends, F.array_position(ends, -x["left"]).cast("int")))))
+    def masked(x: Column) -> Column:
+        s, e = x["s"], x["e"]
+        ends = F.call_function("shiftleft", one, s).bitwiseOR(F.call_function("shiftleft", one, e))
+        return F.struct(ends.alias("ends"), (F.call_function("shiftleft", one, e) - F.call_function("shiftleft", one, s + 1)).alias("inner"), x["id"].alias("id"))
 
-    ends = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), step)
+    def fold(edges: Column, longer: Column) -> Column:
+        def step(bits: Column, _: Column) -> Column:
+            joins = F.filter(longer, lambda x: (bits.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(bits.bitwiseAND(x["inner"])) == 1))
+            inner = F.get(joins, F.lit(0))["inner"]
+            return bits.bitwiseAND(F.bitwise_not(F.coalesce(inner, F.lit(0).cast("long"))))
 
-    def ids(ends: Column) -> Column:
-        def symbol(k: Column) -> Column:
-            s, e = F.get(ends, k), F.get(ends, k + 1)
-            own = F.get(F.filter(edges, lambda x: (x["s"] == s) & (x["e"] == e)), F.lit(0))["id"]
-            return F.when(own.isNotNull(), F.array(own)).otherwise(_bytes(vocabulary, F.substring("unit", s + 1, F.lit(1))))
+        every = F.call_function("shiftleft", one, n + 1) - 1
+        return let(F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), every, step), lambda bits: ids(edges, bits))
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(ends) - 2), symbol))
+    def ids(edges: Column, bits: Column) -> Column:
+        symbols = F.filter(edges, lambda x: (bits.bitwiseAND(x["ends"]) == x["ends"]) & (bits.bitwiseAND(x["inner"]) == 0))
+        in_order = F.array_sort(F.transform(symbols, lambda x: F.struct(x["ends"].alias("ends"), x["id"].alias("id"))))
+        known = F.transform(in_order, lambda x: x["id"])
+        # characters without a piece: each position that is a symbol of its own and has no edge
+        at = F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.call_function("getbit", bits, k) == 1)
+        own = lambda k: F.get(F.filter(symbols, lambda x: (F.call_function("getbit", x["ends"], k) == 1) & (x["ends"] >= F.call_function("shiftleft", one, k + 1))), F.lit(0))["id"]
+        each = F.flatten(F.transform(at, lambda k: let(own(k), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(_bytes(vocabulary, F.substring("unit", k + 1, F.lit(1)))))))
+        return F.when(F.size(symbols) == F.bit_count(bits) - 1, known).otherwise(each)
 
-    return let(ends, ids)
+    merges = lambda edges: F.filter(edges, lambda x: x["inner"] != 0)
+    return let(F.transform(F.array_sort("edges"), masked), lambda edges: let(merges(edges), lambda longer: fold(edges, longer)))
 
 
 def folded_viterbi(vocabulary: Vocabulary) -> Column:
@@ -266,7 +282,7 @@ def folded_viterbi(vocabulary: Vocabulary) -> Column:
     node = lambda score, back, id_: F.struct(score.alias("score"), back.alias("back"), id_.alias("id"))
 
     def reach(nodes: Column, e: Column) -> Column:
-        known = F.transform(F.filter(edges, lambda x: x["e"] == e), lambda x: node(F.get(nodes, x["s"])["score"] + x["score"], x["s"], x["id"]))
+        known = F.transform(F.filter(edges, lambda x: x["e"] == e), lambda x: node(F.get(nodes, x["s"])["score"] - x["cost"], x["s"], x["id"]))
         single = node(F.get(nodes, e - 1)["score"] + F.lit(low), e - 1, F.lit(-1))
         return F.concat(nodes, F.array(F.array_max(F.concat(known, F.array(single)))))
 
@@ -298,9 +314,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text
     may have any name.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    places = blocked(own, vocabulary, False).groupBy("unit").agg(F.collect_list(F.struct("block", "number")).alias("places"))
+    places = blocked(own, vocabulary, False).repartition("unit").groupBy("unit").agg(F.collect_list(F.struct("block", "number")).alias("places"))
     coded = encoded_units(places, vocabulary, "places")
-    packed = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 8, "0")), ""))
+    digits = 4 if len(vocabulary.pieces) <= 1 << 16 else 8
+    code = ">u2" if digits == 4 else ">i4"
+    packed = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), digits, "0")), ""))
     parts = coded.select(packed.alias("ids"), F.explode("places").alias("place")).select("place.block", "place.number", "ids")
     shared = docs.sparkSession.sparkContext.broadcast({"state": state(vocabulary)})
 
@@ -308,33 +326,31 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text
         known = dict(zip(right.column("number").to_pylist(), right.column("ids").to_pylist()))
         v = held(shared.value)
         long = v.best if v.model == UNIGRAM else v.merged
-        find = re.compile(v.cuts).findall
+        split, cut = re.compile(v.words).findall, re.compile(v.cuts).findall
         out: list[pa.Table] = []
         for payload in left.column("payload").to_pylist():
             table = pa.ipc.open_stream(payload).read_all()
-            numbers: dict[str, int] = {}
-            at: list[np.ndarray] = []
+            units: dict[str, bytes] = {}
+            words: dict[str, bytes] = {}
+
+            def of_unit(u: str) -> bytes:
+                if u not in units:
+                    k = len(units)
+                    if len(u) <= LONG and k not in known:
+                        raise RuntimeError("a block does not hold the units that it named in the first pass")
+                    units[u] = known[k] if len(u) <= LONG else np.array(long(u), code).tobytes()
+                return units[u]
+
+            values, sizes = [], [0]
             for t in table.column("text").to_pylist():
-                found = find(v.normalized(t or ""))
-                at.append(np.fromiter((numbers.setdefault(u, len(numbers)) for u in found), np.int64, len(found)))
-            coded = []
-            for u, k in numbers.items():
-                if len(u) > LONG:
-                    coded.append(np.array(long(u), ">i4").tobytes())
-                elif k in known:
-                    coded.append(known[k])
-                else:
-                    raise RuntimeError("a block does not hold the units that it named in the first pass")
-            flat = np.frombuffer(b"".join(coded), ">i4").astype(np.int32)
-            lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-            starts = np.cumsum(lengths) - lengths
-            values, sizes = [], np.zeros(len(at) + 1, np.int64)
-            for k, units in enumerate(at):
-                n = lengths[units]
-                sizes[k + 1] = total = n.sum()
-                values.append(flat[np.repeat(starts[units] - (np.cumsum(n) - n), n) + np.arange(total)])
-            ids = pa.LargeListArray.from_arrays(pa.array(np.cumsum(sizes)), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32))).cast(pa.list_(pa.int32()))
-            out.append(pa.table({"doc_id": table.column("doc_id"), "ids": ids, "n_tokens": pa.array(sizes[1:])}))
+                parts = split(v.normalized(t or ""))
+                for w in parts:
+                    if w not in words:
+                        words[w] = b"".join(map(of_unit, cut(w)))
+                values.append(b"".join(map(words.__getitem__, parts)))
+                sizes.append(len(values[-1]) // (digits // 2))
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.frombuffer(b"".join(values), code).astype(np.int32)))
+            out.append(pa.table({"doc_id": table.column("doc_id"), "ids": ids, "n_tokens": pa.array(sizes[1:], pa.int64())}))
         return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32())), "n_tokens": pa.array([], pa.int64())})
 
     return blocked(own, vocabulary, True).groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(joined, "doc_id long, ids array<int>, n_tokens long")
