@@ -28,7 +28,7 @@ from .common import documents
 #: The vocabulary of the queries.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: UTF-8 bytes of the texts of a block; units longer than LONG characters (runs of one kind of character) are encoded in their block.
-BLOCK_BYTES, LONG = 16 << 20, 48
+BLOCK_BYTES, LONG = 12 << 20, 48
 SPACE = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -129,15 +129,9 @@ class Vocabulary:
             e = s
         return [i for x in reversed(out) for i in x]
 
-    def decoded(self, ids: list[int]) -> str:
-        """The text of ids: pieces and bytes joined, the first space that encoding adds taken off. Bytes that are no UTF-8 become U+FFFD."""
-        out = b"".join(map(self._surfaces().__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
-        return out[1:] if self.prefix and out.startswith(" ") else out
-
-    def _surfaces(self) -> list[bytes]:
-        if not hasattr(self, "_made"):
-            self._made = [bytes([int(p[3:-1], 16)]) if k == BYTE else b"" if k == CONTROL else p.encode() for p, k in zip(self.pieces, self.kinds)]
-        return self._made
+    def surfaces(self) -> list[bytes]:
+        """What each id adds to a text."""
+        return [bytes([int(p[3:-1], 16)]) if k == BYTE else b"" if k == CONTROL else p.encode() for p, k in zip(self.pieces, self.kinds)]
 
 
 def state(vocabulary: Vocabulary) -> tuple:
@@ -323,7 +317,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast({"state": state(vocabulary)})
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = dict(zip(right.column("number").to_pylist(), right.column("ids").to_pylist()))
+        at = np.concatenate([np.zeros(0, np.int64), right.column("number").to_numpy()])
+        known: list[bytes | None] = [None] * (int(at.max()) + 1 if len(at) else 0)
+        for k, i in zip(at.tolist(), right.column("ids")):
+            known[k] = i.as_py()
         v = held(shared.value)
         long = v.best if v.model == UNIGRAM else v.merged
         split, cut = re.compile(v.words).findall, re.compile(v.cuts).findall
@@ -336,7 +333,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text
             def of_unit(u: str) -> bytes:
                 if u not in units:
                     k = len(units)
-                    if len(u) <= LONG and k not in known:
+                    if len(u) <= LONG and (k >= len(known) or known[k] is None):
                         raise RuntimeError("a block does not hold the units that it named in the first pass")
                     units[u] = known[k] if len(u) <= LONG else np.array(long(u), code).tobytes()
                 return units[u]
@@ -356,18 +353,18 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text
     return blocked(own, vocabulary, True).groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(joined, "doc_id long, ids array<int>, n_tokens long")
 
 
-def decode(coded: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """One row per row of ``coded``: doc_id, ids, text. Null ids count as none; ids outside the vocabulary are an error."""
-    shared = coded.sparkSession.sparkContext.broadcast({"state": state(vocabulary)})
+def decoded_text(vocabulary: Vocabulary, ids: Column) -> Column:
+    """The text of an array of ids, in built-in functions: the bytes of all pieces joined as hexadecimal digits, then read as UTF-8. Null ids give ''."""
+    table = F.split(F.lit(",".join(x.hex() for x in vocabulary.surfaces())), ",")
+    joined = F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), ""))
+    text = F.replace(F.call_function("make_valid_utf8", joined.cast("string")), F.lit(SPACE), F.lit(" "))
+    plain = F.when(F.startswith(text, F.lit(" ")), F.substring(text, F.lit(2), F.length(text))).otherwise(text) if vocabulary.prefix else text
+    return F.coalesce(plain, F.lit(""))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = held(shared.value)
-        for b in batches:
-            texts = pa.array([v.decoded(b.column(1)[k].as_py() or []) for k in range(b.num_rows)], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts], ["doc_id", "ids", "text"])
 
-    own = coded.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("ids"))
-    return own.mapInArrow(each, "doc_id long, ids array<int>, text string")
+def decode(coded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "text") -> DataFrame:
+    """``coded`` with a column of the texts that its ids stand for. Ids outside the vocabulary are an error."""
+    return coded.withColumn(text, decoded_text(vocabulary, F.col(ids)))
 
 
 def op1_sentencepiece(spark, sf_dir: str, model: str = MODEL) -> DataFrame:
