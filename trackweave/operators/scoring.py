@@ -18,16 +18,30 @@ TITLE_REJECT, TRUNCATION_REJECT, ARTIST_REJECT, CLOSE_TITLE, EPONYMOUS = 0.35, 0
 GRACE_MS, SPAN_MS = 2000, 15000
 CONFIDENCE = {"isrc": 1.0, "high": 0.9, "good": 0.75, "low": 0.55, "none": 0.0}
 
-QUERY = ("title", "artist", "album_hint", "duration_ms", "isrc")
-CANDIDATE = ("track_name", "artist_name", "collection_name", "track_time_millis", "cand_isrc", "collection_type")
 
 
 def distances(pairs: DataFrame, columns: dict[str, tuple[str, str]], f=D.string_dist) -> DataFrame:
-    """``pairs`` with a distance column for each pair of columns; distinct value pairs are computed once and joined back."""
-    for name, (a, b) in columns.items():
-        known = pairs.select(F.col(a).alias("a_"), F.col(b).alias("b_")).distinct().withColumn(name, f(F.col("a_"), F.col("b_")))
-        pairs = pairs.join(known, F.col(a).eqNullSafe(F.col("a_")) & F.col(b).eqNullSafe(F.col("b_"))).drop("a_", "b_")
-    return pairs
+    """``pairs`` with a distance column for each pair of columns. All are computed in one pass over the rows, and equal pairs of a batch once."""
+    return pairs.select("*", *[f(F.col(a), F.col(b)).alias(name) for name, (a, b) in columns.items()])
+
+
+def query_side(df: DataFrame) -> DataFrame:
+    """Queries (query_id, title, artist, album_hint, duration_ms, isrc; texts in normal form) with what scores need of them, computed once per query."""
+    for c in ("title", "artist", "album_hint", "isrc"):
+        df = df.withColumn(c, F.trim(T.text_or_empty(F.col(c))))
+    title, hint = F.col("title"), F.col("album_hint")
+    flags = {"q_live": T.is_live(title) | T.is_live(hint), "q_remix": T.is_remix(title) | T.is_remix(hint), "q_acoustic": T.is_acoustic(title) | T.is_acoustic(hint), "q_single": T.is_single_name(hint)}
+    return df.withColumns({"q_core": T.alnum(T.without_brackets(title)), "q_artist": T.alnum(F.col("artist")), "q_words": T.edition_tokens(hint), **flags})
+
+
+def candidate_side(df: DataFrame) -> DataFrame:
+    """Candidates (track_name, artist_name, collection_name, track_time_millis, cand_isrc, collection_type) with what scores need of them, computed once per candidate."""
+    for c in ("track_name", "artist_name", "collection_name", "cand_isrc", "collection_type"):
+        df = df.withColumn(c, F.trim(T.text_or_empty(F.col(c))))
+    name, album = F.col("track_name"), F.col("collection_name")
+    flags = {"c_live": T.is_live(name) | T.is_live(album), "c_remix": T.is_remix(name) | T.is_remix(album), "c_acoustic": T.is_acoustic(name) | T.is_acoustic(album), "c_single": T.is_single_name(album)}
+    texts = {"c_core": T.alnum(T.without_brackets(name)), "c_artist": T.alnum(F.col("artist_name")), "c_words": T.edition_tokens(album), "c_base": T.without_single(album)}
+    return df.withColumns({**texts, **flags, "c_various": F.lower("artist_name").isin(*T.VARIOUS_IN_SCORES)})
 
 
 def clamp(c: Column) -> Column:
@@ -43,33 +57,28 @@ def edition_penalty(hint: Column, candidate: Column) -> Column:
 
 
 def track_scores(pairs: DataFrame, least: float = 0.5, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """``pairs`` (columns of QUERY and CANDIDATE, normal forms in the query) with their score, null where rejected or below ``least``.
+    """Joined pairs of query_side and candidate_side with their score, null where rejected or below ``least``.
 
     The score is 1 less the weighted mean of the penalties that apply. Equal ISRCs count more than all else.
     """
-    for c in ("title", "artist", "album_hint", "isrc", "track_name", "artist_name", "collection_name", "cand_isrc", "collection_type"):
-        pairs = pairs.withColumn(c, F.trim(T.text_or_empty(F.col(c))))
-    pairs = pairs.withColumn("single_base", T.without_single(F.col("collection_name")))
-    p = distances(pairs, {"d_title": ("title", "track_name"), "d_artist": ("artist", "artist_name"), "d_album": ("album_hint", "collection_name"), "d_single": ("title", "single_base")})
-    title, artist, hint, album = F.col("title"), F.col("artist"), F.col("album_hint"), F.col("collection_name")
-    cut = T.truncation(title, F.col("track_name"))
-    eff = clamp(F.col("d_title") + 0.3 * cut)
-    contained = (T.alnum(artist) != "") & F.contains(T.alnum(F.col("artist_name")), T.alnum(artist))
-    d_artist = F.when(contained, 0.0).otherwise(F.col("d_artist"))
-    asks_artist = (artist != "") & ~F.lower("artist_name").isin(*T.VARIOUS_IN_SCORES)
-    single = F.col("collection_type").isin("Single", "EP") | T.is_single_name(album)
-    eponymous = T.is_single_name(album) & (F.col("d_single") < EPONYMOUS)
-    from_album = (hint != "") & ~T.is_single_name(hint)
-    mismatch = lambda f: (f(title) | f(hint)) != (f(F.col("track_name")) | f(album))
-    hint_words, cand_words = T.edition_tokens(hint), T.edition_tokens(album)
+    p = distances(pairs, {"d_title": ("title", "track_name"), "d_artist": ("artist", "artist_name"), "d_album": ("album_hint", "collection_name"), "d_single": ("title", "c_base")})
+    hint = F.col("album_hint")
+    a, b = F.col("q_core"), F.col("c_core")
+    cut = F.when((b != "") & (F.length(b) < F.length(a)) & F.startswith(a, b), 1 - F.length(b) / F.length(a)).otherwise(0.0)
+    contained = (F.col("q_artist") != "") & F.contains("c_artist", "q_artist")
+    p = p.withColumns({"cut": cut, "d_artist": F.when(contained, 0.0).otherwise(F.col("d_artist"))}).withColumn("eff", clamp(F.col("d_title") + 0.3 * F.col("cut")))
+    cut, eff, d_artist = F.col("cut"), F.col("eff"), F.col("d_artist")
+    asks_artist = (F.col("artist") != "") & ~F.col("c_various")
+    single = F.col("collection_type").isin("Single", "EP") | F.col("c_single")
+    eponymous = F.col("c_single") & (F.col("d_single") < EPONYMOUS)
+    from_album = (hint != "") & ~F.col("q_single")
+    hint_words, cand_words = F.col("q_words"), F.col("c_words")
     some_words = (F.size(hint_words) > 0) | (F.size(cand_words) > 0)
     by_id = (F.col("isrc") != "") & (F.upper("isrc") == F.upper("cand_isrc"))
     other = F.when(eponymous & ~from_album, F.lit(0)).when(single & ~from_album, F.lit(1)).when(from_album & ~single, F.lit(2)).otherwise(F.lit(3))
     penalties: dict[str, tuple[Column, Column]] = {
         "track_title": (F.lit(True), eff),
-        "live_mismatch": (mismatch(T.is_live), F.lit(1.0)),
-        "remix_mismatch": (mismatch(T.is_remix), F.lit(1.0)),
-        "acoustic_mismatch": (mismatch(T.is_acoustic), F.lit(1.0)),
+        **{f"{k}_mismatch": (F.col(f"q_{k}") != F.col(f"c_{k}"), F.lit(1.0)) for k in ("live", "remix", "acoustic")},
         "track_artist": (asks_artist, F.when(eff < CLOSE_TITLE, d_artist * 0.5).otherwise(d_artist)),
         "track_length": ((F.coalesce("duration_ms", F.lit(0)) != 0) & (F.coalesce("track_time_millis", F.lit(0)) != 0), clamp((F.abs(F.col("track_time_millis") - F.col("duration_ms")) - GRACE_MS) / SPAN_MS)),
         "single_bonus": (F.lit(True), F.when(other == 1, 0.3).when(other == 3, 1.0).otherwise(0.0)),
@@ -85,14 +94,13 @@ def track_scores(pairs: DataFrame, least: float = 0.5, weights: dict[str, float]
     rejected = (cut > TRUNCATION_REJECT) | (eff > TITLE_REJECT) | (asks_artist & (d_artist > ARTIST_REJECT))
     id_score = 1 - (weights["track_title"] * 0.1 * F.col("d_title") + weights["track_artist"] * 0.1 * F.col("d_artist")) / (weights["track_id"] + weights["track_title"] + weights["track_artist"])
     score = F.when(by_id, id_score).when(~rejected, 1 - total / most)
-    return p.withColumn("score", F.when(score >= least, score)).drop("d_title", "d_artist", "d_album", "d_single", "single_base")
+    return p.withColumn("score", F.when(score >= least, score)).drop("d_title", "d_artist", "d_album", "d_single", "cut", "eff")
 
 
-def edition_likeness(base: Column, hint: Column, candidate: Column) -> Column:
+def edition_likeness(base: Column, hint_words: Column, words: Column) -> Column:
     """A title similarity of two album names, less what their edition words differ in."""
-    a, b = T.edition_tokens(hint), T.edition_tokens(candidate)
-    common = F.size(F.array_intersect(a, b))
-    differ = F.size(F.array_union(a, b)) - common
+    common = F.size(F.array_intersect(hint_words, words))
+    differ = F.size(F.array_union(hint_words, words)) - common
     return F.when((base == 0) | (differ == 0), base).otherwise(F.greatest(F.lit(0.0), base - (0.18 * differ - 0.04 * common)))
 
 

@@ -28,9 +28,10 @@ def preferred_pool(df: DataFrame, query: str, collection: str, preferred: Column
     return wanted.unionByName(rest).unionByName(alone)
 
 
-def best_of_pool(pool: DataFrame, query: str, score: str, live: Column, delta: Column) -> DataFrame:
-    """One row per query: highest score, then not live, then nearest duration, then pool order."""
-    return first_of(pool, [query], [F.desc(score), live.cast("int"), delta, F.col("pool"), F.col("pool_pos")])
+def picked_of_pool(pool: DataFrame, query: str, score: str, live: Column, delta: Column) -> DataFrame:
+    """``pool`` with a flag ``picked`` for one row per query: highest score, then not live, then nearest duration, then pool order."""
+    order = W.partitionBy(query).orderBy(F.desc(score), live.cast("int"), delta, "pool", "pool_pos")
+    return pool.withColumn("picked", F.row_number().over(order) == 1)
 
 
 def duration_delta(asked: Column, found: Column) -> Column:

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions.edition import release_edition
 from ..operators.candidates import tiered
 from ..operators.mappers import from_catalog
-from ..operators.scoring import distances, edition_likeness, edition_score, track_scores
+from ..operators.scoring import candidate_side, distances, edition_likeness, edition_score, query_side, track_scores
 from ..operators.select_best import first_of
 
 #: Least score of a candidate, and of a match that stands alone.
@@ -36,22 +36,25 @@ def candidates(requests: DataFrame, tracks: DataFrame) -> DataFrame:
 
 def scored(requests: DataFrame, tracks: DataFrame, albums: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (query_id, row_id) with base score and total: the base and the album's edition score."""
-    cand = tracks.select(F.col("track_id").alias("row_id"), "track_name", "artist_name", "collection_name", "track_time_millis", "collection_id")
-    rows = requests.withColumnRenamed("isrc", "asked_isrc").join(pairs, "query_id").join(cand, "row_id")
-    rows = rows.filter(~F.col("has_version") | T.has_version_tag(F.col("track_name")))
-    rows = track_scores(rows.withColumn("isrc", F.lit("")).withColumn("cand_isrc", F.lit("")).withColumn("collection_type", F.lit("")), LEAST).filter("score IS NOT NULL")
+    cand = candidate_side(tracks.select(F.col("track_id").alias("row_id"), "track_name", "artist_name", "collection_name", "track_time_millis", "collection_id", F.lit("").alias("cand_isrc"), F.lit("").alias("collection_type")))
+    cand = cand.withColumn("c_version", T.has_version_tag(F.col("track_name")))
+    asked = query_side(requests.withColumn("isrc", F.lit("")))
+    rows = pairs.join(asked, "query_id").join(cand, "row_id").filter(~F.col("has_version") | F.col("c_version"))
+    rows = track_scores(rows, LEAST).filter("score IS NOT NULL").select("query_id", "row_id", "collection_id", "score", "title", "album_hint", "q_words", "expects_short")
     counts = tracks.groupBy("collection_id").agg(F.count(F.lit(1)).cast("int").alias("real_count"))
-    known = albums.select("collection_id", F.col("collection_type").alias("a_type"), F.col("artist_name").alias("a_artist"), F.col("collection_name").alias("a_name"), F.col("track_count").alias("a_count"), F.lit(True).alias("known")).join(counts, "collection_id", "left")
-    rows = rows.join(known, "collection_id", "left").withColumn("a_norm", T.normalize(F.col("a_name"))).withColumn("a_single", T.without_single(F.col("a_name")))
-    rows = distances(rows, {"likeness": ("album_hint", "a_norm")}, D.title_similarity)
-    rows = distances(rows, {"d_album_title": ("title", "a_single")})
+    name = T.normalize(F.col("collection_name"))
+    known = albums.select(
+        "collection_id", F.col("collection_type").alias("a_type"), T.is_various(F.col("artist_name")).alias("a_various"), F.col("collection_name").alias("a_name"), F.col("track_count").alias("a_count"), F.lit(True).alias("known"),
+        name.alias("a_norm"), T.edition_tokens(name).alias("a_words"), T.without_single(F.col("collection_name")).alias("a_single"), T.is_single_name(F.col("collection_name")).alias("a_suffixed"),
+    ).join(counts, "collection_id", "left")
+    rows = rows.join(known, "collection_id", "left")
+    rows = distances(distances(rows, {"likeness": ("album_hint", "a_norm")}, D.title_similarity), {"d_album_title": ("title", "a_single")})
     declared = F.coalesce("a_count", F.lit(0)) > 0
     count = F.when(declared, F.col("a_count")).otherwise(F.col("real_count"))
     kind = F.when(declared, F.col("a_type")).otherwise(F.lit(""))
-    eponymous = T.is_single_name(F.col("a_name")) & (F.col("d_album_title") < 0.15)
-    edition = release_edition(kind, F.col("a_name"), count, F.coalesce(count, F.lit(0)) > 0, eponymous)
-    likeness = edition_likeness(F.col("likeness"), F.col("album_hint"), F.col("a_norm"))
-    bonus = edition_score(F.coalesce("known", F.lit(False)), T.is_various(F.col("a_artist")), edition, F.col("album_hint"), likeness, F.col("expects_short"))
+    edition = release_edition(kind, F.col("a_name"), count, F.coalesce(count, F.lit(0)) > 0, F.col("a_suffixed") & (F.col("d_album_title") < 0.15))
+    rows = rows.withColumns({"edition": edition, "likeness": edition_likeness(F.col("likeness"), F.col("q_words"), F.col("a_words"))})
+    bonus = edition_score(F.coalesce("known", F.lit(False)), F.coalesce("a_various", F.lit(False)), F.col("edition"), F.col("album_hint"), F.col("likeness"), F.col("expects_short"))
     return rows.select("query_id", "row_id", F.col("score").alias("base"), (F.col("score") + bonus).alias("total"))
 
 
@@ -60,7 +63,8 @@ def matched(requests: DataFrame, tracks: DataFrame, albums: DataFrame, accept: f
     asked = prepared(requests)
     best = first_of(scored(asked, tracks, albums, candidates(asked, tracks)), ["query_id"], [F.desc("total"), F.col("row_id")])
     hits = best.filter(F.col("total") >= accept).select("query_id", F.col("row_id").alias("track_id"), F.col("total").alias("score"))
-    return hits.unionByName(matched_by_isrc(asked.join(hits, "query_id", "left_anti"), tracks, accept))
+    both = hits.withColumn("way", F.lit(0)).unionByName(matched_by_isrc(asked, tracks, accept).withColumn("way", F.lit(1)))
+    return first_of(both, ["query_id"], [F.col("way")]).drop("way")
 
 
 def matched_by_isrc(asked: DataFrame, tracks: DataFrame, accept: float = ACCEPT) -> DataFrame:

@@ -65,7 +65,7 @@ def candidate_projection(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, count(l_orderkey) AS n_tracks,
-                 coalesce(string_agg(concat(CAST(l_linenumber AS VARCHAR), ':', CAST(l_partkey AS VARCHAR)), ',' ORDER BY l_linenumber, l_partkey, l_suppkey), '') AS parts
+                 coalesce(string_agg(CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_suppkey), '') AS parts
           FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
 def album_with_tracks(spark, sf_dir):
     out = R.with_children(table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "lineitem"), "o_orderkey", "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "tracks")
@@ -230,7 +230,7 @@ def title_similarity(spark, sf_dir):
 def album_edition_similarity(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " (Deluxe Edition)").otherwise(" - Remix")).alias("album"))
     known = S.distances(part, {"base": ("p_name", "album")}, D.title_similarity)
-    return known.select("p_partkey", F.round(S.edition_likeness(F.col("base"), F.col("p_name"), F.col("album")), 6).alias("similarity"))
+    return known.select("p_partkey", F.round(S.edition_likeness(F.col("base"), T.edition_tokens(F.col("p_name")), T.edition_tokens(F.col("album"))), 6).alias("similarity"))
 
 
 @query("""WITH w AS (SELECT p_partkey, p_brand, p_name, list_distinct(string_split(lower(p_name), ' ')) AS x, list_distinct(string_split(lower(p_type), ' ')) AS y FROM part),
@@ -247,7 +247,7 @@ def track_match_score(spark, sf_dir):
     part = tracks(spark, sf_dir)
     asked = part.filter("track_id % 20 = 0").select(F.col("track_id").alias("query_id"), F.lower("track_name").alias("title"), F.lower("artist_name").alias("artist"), F.lower("collection_name").alias("album_hint"), F.col("track_time_millis").alias("duration_ms"), F.lit("").alias("isrc"), F.substring_index("track_name", " ", 1).alias("first"))
     cand = part.select("track_id", "track_name", "artist_name", "collection_name", "track_time_millis", F.lit("").alias("cand_isrc"), F.lit("Album").alias("collection_type"), F.substring_index("track_name", " ", 1).alias("first_name"))
-    pairs = asked.join(cand, (F.col("first") == F.col("first_name")) & (F.substring_index("artist", "#", -1) == F.substring_index("artist_name", "#", -1)))
+    pairs = S.query_side(asked).join(S.candidate_side(cand), (F.col("first") == F.col("first_name")) & (F.substring_index("artist", "#", -1) == F.substring_index("artist_name", "#", -1)))
     return S.track_scores(pairs).filter("score IS NOT NULL").select("query_id", "track_id", F.round("score", 6).alias("score"))
 
 
@@ -279,8 +279,8 @@ def _lines(spark, sf_dir) -> DataFrame:
            SELECT q, cid, pos, pool, pool_pos, n = 1 AS picked FROM ranked""")
 def best_per_collection(spark, sf_dir):
     pool = B.preferred_pool(_lines(spark, sf_dir), "q", "cid", F.col("flag") == "A", "score", "pos")
-    best = B.best_of_pool(pool, "q", "score", F.col("status") == "O", F.abs(F.col("price") - 20000)).select("q", F.col("pos").alias("best_pos"))
-    return pool.join(best, "q").select("q", "cid", "pos", "pool", "pool_pos", (F.col("pos") == F.col("best_pos")).alias("picked"))
+    picked = B.picked_of_pool(pool, "q", "score", F.col("status") == "O", F.abs(F.col("price") - 20000))
+    return picked.select("q", "cid", F.col("pos").cast("long").alias("pos"), "pool", F.col("pool_pos").cast("long").alias("pool_pos"), "picked")
 
 
 @query("""WITH best AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS n FROM part),
