@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, sharding
+from . import exact_dedup, language_id, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, sharding, token_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_token_packing": token_packing.op6_token_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op9_sharding": sharding.op9_sharding,
