@@ -93,11 +93,12 @@ def seeds(raw: DataFrame) -> DataFrame:
     df = df.withColumn("kept_", F.when(kept != "", F.concat(F.lit(" ("), F.upper(F.substring(kept, 1, 1)), F.lower(F.substring(kept, 2, 99)), F.lit(")"))).otherwise(""))
     df = df.withColumn("clean_", T.clean_title(F.col("pair_.title"), F.col("name_")))
     clean = F.when(F.contains(F.lower("clean_"), F.lower("kept_")), F.col("clean_")).otherwise(F.concat("clean_", "kept_"))
-    list_album = T.stripped(F.regexp_extract(T.text_or_empty(F.col("playlist_title")), r"(?iuU)^Album\s*[-–]\s*(.+)$", 1))
-    album = T.text_or_empty(F.col("album"))
-    album = F.when((list_album != "") & ((album == "") | (T.is_deluxe(list_album) & ~T.is_deluxe(album))), list_album).otherwise(album)
+    listed = T.stripped(F.regexp_extract(T.text_or_empty(F.col("playlist_title")), r"(?iuU)^Album\s*[-–]\s*(.+)$", 1))
     inner = T.stripped(F.regexp_extract(T.text_or_empty(F.col("playlist_title")), "['‘’ʼ](.+?)['‘’ʼ]", 1))
-    album = F.when(T.has_album_suffix(album) & (inner != "") & ~T.has_album_suffix(inner), inner).otherwise(album)
+    df = df.withColumns({"album_": T.text_or_empty(F.col("album")), "listed_": listed, "inner_": inner})
+    better = (F.col("listed_") != "") & ((F.col("album_") == "") | (T.is_deluxe(F.col("listed_")) & ~T.is_deluxe(F.col("album_"))))
+    df = df.withColumn("album_", F.when(better, F.col("listed_")).otherwise(F.col("album_")))
+    album = F.when(T.has_album_suffix(F.col("album_")) & (F.col("inner_") != "") & ~T.has_album_suffix(F.col("inner_")), F.col("inner_")).otherwise(F.col("album_"))
     full = F.when(F.col("own_"), T.stripped(given)).otherwise(F.col("name_"))
     return df.select(
         "input_pos", F.when(F.col("own_"), T.stripped(title)).otherwise(clean).alias("title"), T.primary_artist(full).alias("artist"), album.alias("album"),

@@ -11,15 +11,20 @@ from ..sources.catalog import keep_first
 from .local_match import match_records
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint, where the session has a folder for one: later stages use it several times."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def enrich(raw: DataFrame, tracks: DataFrame, albums: DataFrame, providers: list[DataFrame]) -> DataFrame:
     """Finished records of raw ones (see schemas.RAW).
 
     Repeated video ids count once, the first. A local match overwrites what the seed has; otherwise the first of
     ``providers`` (records with input_pos) that knows the record fills what is missing.
     """
-    seed = seeds(keep_first(raw, "video_id", "input_pos"))
+    seed = cut(seeds(keep_first(raw, "video_id", "input_pos")))
     asked = seed.select(F.col("input_pos").alias("query_id"), "title", "artist", F.col("album").alias("album_hint"), "duration_ms", "isrc")
-    local = match_records(asked, tracks, albums).withColumnRenamed("query_id", "input_pos").drop("score")
+    local = cut(match_records(asked, tracks, albums).withColumnRenamed("query_id", "input_pos").drop("score"))
     base = seed
     for c in [c for c in local.columns if c not in seed.columns]:
         base = base.withColumn(c, F.lit(None).cast(dict(local.dtypes)[c]))
@@ -27,4 +32,4 @@ def enrich(raw: DataFrame, tracks: DataFrame, albums: DataFrame, providers: list
     rest = base.join(local.select("input_pos"), "input_pos", "left_anti")
     if providers:
         rest = merge_records(rest, cascade(providers, "input_pos"), "input_pos", overwrite=("cover_url", "explicit"))
-    return finished(hit.unionByName(rest))
+    return finished(cut(hit.unionByName(rest)))
