@@ -28,7 +28,7 @@ from .common import documents
 #: The vocabulary of the queries.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: UTF-8 bytes of the texts of a block; units longer than LONG characters (runs of one kind of character) are encoded in their block.
-BLOCK_BYTES, LONG = 12 << 20, 48
+BLOCK_BYTES, LONG = 5 << 20, 48
 SPACE = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
