@@ -7,18 +7,21 @@ unigram vocabulary the fold is Viterbi, for the best sum of scores. A BPE vocabu
 but by its merges, so for it the fold applies, of the lattice's edges that join two neighbouring symbols, the one of the
 highest score (ties: the leftmost) until there is none. Characters without a piece become bytes.
 
-Ids go back to the blocks by block and number of the unit, and meet the block's texts, which travel compressed.
+Ids go back to the blocks by block and number of the unit, packed, and meet the block's texts, which travel compressed.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +30,10 @@ from .common import documents
 
 #: The vocabulary of the queries.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: UTF-8 bytes of the texts of a block; units longer than LONG characters (runs of one kind of character) are encoded in their block.
-BLOCK_BYTES, LONG = 5 << 20, 48
+#: UTF-8 bytes of the texts of a block and of a chunk of it, and what a row counts besides its text.
+BLOCK_BYTES, CHUNK_BYTES, ROW_BYTES = 32 << 20, 2 << 20, 16
+#: Units longer than this (runs of one kind of character) are encoded in their block. Places of units that a task gathers before it sends them.
+LONG, GATHERED = 48, 1 << 19
 SPACE = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -147,53 +152,67 @@ def held(shared: dict) -> Vocabulary:
 
 
 def blocked(docs: DataFrame, vocabulary: Vocabulary, payload: bool) -> DataFrame:
-    """Documents (doc_id, text) in blocks: either (block, payload) or (block, number, unit) with a block's distinct short units.
+    """Documents (doc_id, text) in blocks: either (block, number, payload), a block's texts in compressed chunks, or (block, number, unit), its distinct short units.
 
     A block is named by the hash of its ids and texts, and units are numbered in the order they first appear, so two
     passes over the same input agree.
     """
     words, cuts, prefix = vocabulary.words, vocabulary.cuts, vocabulary.prefix
 
-    def units(ids: list, texts: list[str | None]) -> pa.RecordBatch:
-        name = xxhash.xxh3_64()
-        for i, t in zip(ids, texts):
-            name.update(f"{i} {len(t or '')} ".encode())
-            name.update((t or "").encode())
-        block = name.intdigest() - (1 << 63)
-        if payload:
-            sink = pa.BufferOutputStream()
-            table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_string())})
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
-                out.write_table(table)
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "payload"])
-        split, cut = re.compile(words).findall, re.compile(cuts).findall
-        known: set[str] = set()
-        seen: dict[str, None] = {}
-        for t in texts:
-            for w in split(SPACE * prefix + t.replace(" ", SPACE)) if t else ():
-                if w not in known:
-                    known.add(w)
-                    seen.update(dict.fromkeys(cut(w)))
-        short = [(k, u) for k, u in enumerate(seen) if len(u) <= LONG]
-        return pa.RecordBatch.from_arrays([pa.array([block] * len(short), pa.int64()), pa.array([k for k, _ in short], pa.int32()), pa.array([u for _, u in short], pa.string())], ["block", "number", "unit"])
+    def chunk(ids: list, texts: list[str | None]) -> bytes:
+        sink = pa.BufferOutputStream()
+        table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_string())})
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
+            out.write_table(table)
+        return sink.getvalue().to_pybytes()
+
+    def rows(name: xxhash.xxh3_64, values: list, numbers: list[int]) -> Iterator[pa.RecordBatch]:
+        block, kind = name.intdigest() - (1 << 63), pa.binary() if payload else pa.string()
+        step = 4 if payload else 1 << 16
+        for k in range(0, len(values), step):
+            part = values[k : k + step]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(numbers[k : k + step], pa.int32()), pa.array(part, kind)], ["block", "number", "payload" if payload else "unit"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, cut = re.compile(words).findall, re.compile(cuts).findall
+        name, size, chunks = xxhash.xxh3_64(), 0, []
         ids: list = []
         texts: list[str | None] = []
-        size = 0
+        held_bytes = 0
+        known: set[str] = set()
+        seen: dict[str, None] = {}
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if payload:
+                whole = [*chunks, chunk(ids, texts)] if ids else chunks
+                return rows(name, whole, list(range(len(whole))))
+            short = [(k, u) for k, u in enumerate(seen) if len(u) <= LONG]
+            return rows(name, [u for _, u in short], [k for k, _ in short])
+
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n = len(t.encode()) if t and not t.isascii() else len(t or "")
-                if ids and size + n > BLOCK_BYTES:
-                    yield units(ids, texts)
-                    ids, texts, size = [], [], 0
-                ids.append(i)
-                texts.append(t)
-                size += n
-        if ids:
-            yield units(ids, texts)
-
-    return docs.mapInArrow(each, "block long, payload binary" if payload else "block long, number int, unit string")
+                raw = (t or "").encode()
+                if size and size + len(raw) > BLOCK_BYTES:
+                    yield from ended()
+                    name, size, chunks, ids, texts, held_bytes, known, seen = xxhash.xxh3_64(), 0, [], [], [], 0, set(), {}
+                name.update(f"{i} {len(raw)} ".encode())
+                name.update(raw)
+                size += len(raw) + ROW_BYTES
+                if payload:
+                    ids.append(i)
+                    texts.append(t)
+                    held_bytes += len(raw) + ROW_BYTES
+                    if held_bytes >= CHUNK_BYTES:
+                        chunks.append(chunk(ids, texts))
+                        ids, texts, held_bytes = [], [], 0
+                elif t:
+                    new = list(filterfalse(known.__contains__, dict.fromkeys(split(SPACE * prefix + t.replace(" ", SPACE)))))
+                    known.update(new)
+                    seen.update(dict.fromkeys(cut("".join(new))))  # words stay apart: each but a text's first begins with spaces, and only its last can consist of them
+        if size:
+            yield from ended()
+
+    return docs.mapInArrow(each, "block long, number int, payload binary" if payload else "block long, number int, unit string")
 
 
 def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
@@ -301,6 +320,54 @@ def encoded_units(units: DataFrame, vocabulary: Vocabulary, *carried: str) -> Da
     return lattices(units, pieces, min(vocabulary.longest, LONG), *carried).select("unit", fold.alias("ids"), *carried)
 
 
+def gathered(coded: DataFrame) -> DataFrame:
+    """Units with ``places`` and packed ``ids``, as rows (block, number, payload) of all that a task has for a block; number is -1.
+
+    A payload has the count, the units' numbers in order as differences, the lengths of their ids in bytes, and the ids.
+    """
+
+    def rows(blocks: np.ndarray, numbers: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+        order = np.lexsort((numbers, blocks))
+        blocks, numbers, ids = blocks[order], numbers[order], ids.take(pa.array(order))
+        starts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
+        lengths = pc.binary_length(ids).to_numpy().astype("<u2")
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        raw = b"".join(ids.to_pylist())
+        out = []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(blocks)]):
+            head = np.diff(numbers[a:b], prepend=0).astype("<i4")
+            out.append(zlib.compress(b"".join([(b - a).to_bytes(4, "little"), head.tobytes(), lengths[a:b].tobytes(), raw[ends[a] : ends[b]]]), 1))
+        return pa.RecordBatch.from_arrays([pa.array(blocks[starts], pa.int64()), pa.array([-1] * len(out), pa.int32()), pa.array(out, pa.binary())], ["block", "number", "payload"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_rows: list[tuple] = []
+        n = 0
+        for b in batches:
+            places = b.column(0)
+            flat = places.flatten()
+            of = np.repeat(np.arange(len(b)), pc.list_value_length(places).to_numpy())
+            held_rows.append((flat.field(0).to_numpy(), flat.field(1).to_numpy(), b.column(1).take(pa.array(of))))
+            n += len(of)
+            if n >= GATHERED:
+                yield rows(np.concatenate([r[0] for r in held_rows]), np.concatenate([r[1] for r in held_rows]), pa.concat_arrays([r[2] for r in held_rows]))
+                held_rows, n = [], 0
+        if n:
+            yield rows(np.concatenate([r[0] for r in held_rows]), np.concatenate([r[1] for r in held_rows]), pa.concat_arrays([r[2] for r in held_rows]))
+
+    return coded.select("places", "ids").mapInArrow(each, "block long, number int, payload binary")
+
+
+class Found(dict):
+    """A dict that makes what is missing, once."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, ids, n_tokens.
 
@@ -313,44 +380,43 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text
     digits = 4 if len(vocabulary.pieces) <= 1 << 16 else 8
     code = ">u2" if digits == 4 else ">i4"
     packed = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), digits, "0")), ""))
-    parts = coded.select(packed.alias("ids"), F.explode("places").alias("place")).select("place.block", "place.number", "ids")
+    both = blocked(own, vocabulary, True).unionByName(gathered(coded.select("places", packed.alias("ids"))))
     shared = docs.sparkSession.sparkContext.broadcast({"state": state(vocabulary)})
 
-    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
-        at = np.concatenate([np.zeros(0, np.int64), right.column("number").to_numpy()])
-        known: list[bytes | None] = [None] * (int(at.max()) + 1 if len(at) else 0)
-        for k, i in zip(at.tolist(), right.column("ids")):
-            known[k] = i.as_py()
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks come one after the other, each with its units' ids before its chunks."""
         v = held(shared.value)
         long = v.best if v.model == UNIGRAM else v.merged
         split, cut = re.compile(v.words).findall, re.compile(v.cuts).findall
-        out: list[pa.Table] = []
-        for payload in left.column("payload").to_pylist():
-            table = pa.ipc.open_stream(payload).read_all()
-            units: dict[str, bytes] = {}
-            words: dict[str, bytes] = {}
-
-            def of_unit(u: str) -> bytes:
-                if u not in units:
-                    k = len(units)
-                    if len(u) <= LONG and (k >= len(known) or known[k] is None):
-                        raise RuntimeError("a block does not hold the units that it named in the first pass")
-                    units[u] = known[k] if len(u) <= LONG else np.array(long(u), code).tobytes()
-                return units[u]
-
-            values, sizes = [], [0]
-            for t in table.column("text").to_pylist():
-                parts = split(v.normalized(t or ""))
-                for w in parts:
-                    if w not in words:
-                        words[w] = b"".join(map(of_unit, cut(w)))
-                values.append(b"".join(map(words.__getitem__, parts)))
-                sizes.append(len(values[-1]) // (digits // 2))
-            ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.frombuffer(b"".join(values), code).astype(np.int32)))
-            out.append(pa.table({"doc_id": table.column("doc_id"), "ids": ids, "n_tokens": pa.array(sizes[1:], pa.int64())}))
-        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32())), "n_tokens": pa.array([], pa.int64())})
-
-    return blocked(own, vocabulary, True).groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(joined, "doc_id long, ids array<int>, n_tokens long")
+        block, known, units = None, {}, {}
+
+        def of_unit(u: str) -> bytes:
+            k = len(units)
+            if len(u) > LONG:
+                return np.array(long(u), code).tobytes()
+            if k not in known:
+                raise RuntimeError("a block does not hold the units that it named in the first pass")
+            return known.pop(k)
+
+        for batch in batches:
+            for name, number, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if name != block:
+                    block, known, units = name, {}, Found(of_unit)
+                if number < 0:
+                    raw = zlib.decompress(payload)
+                    n = int.from_bytes(raw[:4], "little")
+                    ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u2", n, 4 + 4 * n), dtype=np.int64)]) + 4 + 6 * n
+                    at = ends.tolist()
+                    known.update(zip(np.cumsum(np.frombuffer(raw, "<i4", n, 4)).tolist(), map(raw.__getitem__, map(slice, at, at[1:]))))
+                    continue
+                table = pa.ipc.open_stream(payload).read_all()
+                words = Found(lambda w: b"".join(map(units.__getitem__, cut(w))))
+                values = [b"".join(map(words.__getitem__, split(v.normalized(t or "")))) for t in table.column("text").to_pylist()]
+                sizes = [len(x) // (digits // 2) for x in values]
+                ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.frombuffer(b"".join(values), code).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), ids, pa.array(sizes, pa.int64())], ["doc_id", "ids", "n_tokens"])
+
+    return both.repartition("block").sortWithinPartitions("block", "number").mapInArrow(each, "doc_id long, ids array<int>, n_tokens long")
 
 
 def decoded_text(vocabulary: Vocabulary, ids: Column) -> Column:
