@@ -35,6 +35,8 @@ BLOCK_BYTES, CHUNK_BYTES, ROW_BYTES = 32 << 20, 2 << 20, 16
 #: Units longer than this (runs of one kind of character) are encoded in their block. Places of units that a task gathers before it sends them.
 LONG, GATHERED = 48, 1 << 19
 SPACE = "▁"
+#: A bit beyond those of a unit's symbols.
+MARK = 1 << 62
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
@@ -216,15 +218,17 @@ def blocked(docs: DataFrame, vocabulary: Vocabulary, payload: bool) -> DataFrame
 
 
 def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
-    rows = [(p, i, float(vocabulary.scores[i])) for p, i in vocabulary.ids.items()]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+    """Pieces with their ids and scores, and whether a piece that contains them has as high a score (early)."""
+    ids, scores = vocabulary.ids, vocabulary.scores
+    early = {q for p, i in ids.items() for s in range(len(p)) for e in range(s + 1, len(p) + 1) if (q := p[s:e]) != p and q in ids and scores[i] >= scores[ids[q]]}
+    return spark.createDataFrame([(p, i, float(scores[i]), p in early) for p, i in ids.items()], "piece string, id int, score double, early boolean")
 
 
 def lattices(units: DataFrame, pieces: DataFrame, longest: int, *carried: str) -> DataFrame:
-    """Distinct units, each with its edges (cost, s, e, id; cost is the negative score): its substrings that are pieces. ``carried`` columns are kept.
+    """Distinct units, each with its edges (cost, s, e, id, early; cost is the negative score): its substrings that are pieces. ``carried`` columns are kept.
 
     ``units`` should be partitioned by unit already: then nothing is shuffled here. The piece table has a fixed size
-    and is broadcast.
+    and is broadcast. Groups are sorted by the unit's hash first, which is compared faster than strings.
     """
     n = F.length("unit")
     spread = units.select("unit", *carried, F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
@@ -233,8 +237,8 @@ def lattices(units: DataFrame, pieces: DataFrame, longest: int, *carried: str) -
     spread = spread.select("unit", *[F.when(F.col("k") == 1, F.col(c)).alias(c) for c in carried], "s", "k", F.substring("rest", F.lit(1), F.col("k")).alias("part"))
     first = (F.col("s") == 0) & (F.col("k") == 1)
     edges = spread.join(F.broadcast(pieces), F.col("part") == F.col("piece"), "left").filter(first | F.col("id").isNotNull())
-    edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "s", (F.col("s") + F.col("k")).alias("e"), "id"))
-    return edges.groupBy("unit").agg(F.collect_list(edge).alias("edges"), *[F.first(c, ignorenulls=True).alias(c) for c in carried])
+    edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "s", (F.col("s") + F.col("k")).alias("e"), "id", "early"))
+    return edges.groupBy(F.xxhash64("unit").alias("hash"), "unit").agg(F.collect_list(edge).alias("edges"), *[F.first(c, ignorenulls=True).alias(c) for c in carried]).drop("hash")
 
 
 def let(value: Column, body) -> Column:
@@ -256,27 +260,38 @@ def folded_merges(vocabulary: Vocabulary) -> Column:
 
     The ends of the symbols are the bits of a number. An edge joins two neighbours if its ends are set and one bit
     between them is; to merge them is to clear that bit. Edges are sorted once, so that the first that can merge is
-    the best.
+    the best. A merge lets only edges merge that contain it. While none of these is before it in this order, one sweep over
+    the edges does all merges. Only the merge of an ``early`` edge can break that; then an edge before it that can merge
+    now sets MARK, and the unit is folded step by step instead.
     """
     n, one = F.length("unit"), F.lit(1).cast("long")
+    mark = F.lit(MARK).cast("long")
 
     def masked(x: Column) -> Column:
         s, e = x["s"], x["e"]
         ends = F.call_function("shiftleft", one, s).bitwiseOR(F.call_function("shiftleft", one, e))
-        return F.struct(ends.alias("ends"), (F.call_function("shiftleft", one, e) - F.call_function("shiftleft", one, s + 1)).alias("inner"), x["id"].alias("id"))
+        return F.struct(ends.alias("ends"), (F.call_function("shiftleft", one, e) - F.call_function("shiftleft", one, s + 1)).alias("inner"), x["id"].alias("id"), x["early"].alias("early"), x["cost"].alias("cost"))
+
+    def mergeable(bits: Column, x: Column) -> Column:
+        return (bits.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(bits.bitwiseAND(x["inner"])) == 1)
 
     def fold(edges: Column, longer: Column) -> Column:
         def step(bits: Column, _: Column) -> Column:
-            joins = F.filter(longer, lambda x: (bits.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(bits.bitwiseAND(x["inner"])) == 1))
-            inner = F.get(joins, F.lit(0))["inner"]
-            return bits.bitwiseAND(F.bitwise_not(F.coalesce(inner, F.lit(0).cast("long"))))
+            inner = F.get(F.filter(longer, lambda x: mergeable(bits, x)), F.lit(0))["inner"]
+            return F.when(bits >= mark, bits).otherwise(F.coalesce(bits.bitwiseAND(F.bitwise_not(inner)), bits.bitwiseOR(mark)))  # marked: nothing is left to merge
+
+        def sweep(bits: Column, x: Column) -> Column:
+            merged = bits.bitwiseAND(F.bitwise_not(x["inner"]))
+            passed = x["early"] & F.exists(longer, lambda y: (y["cost"] <= x["cost"]) & mergeable(merged, y))
+            return F.when(bits >= mark, bits).when(mergeable(bits, x), F.when(passed, mark).otherwise(merged)).otherwise(bits)
 
         every = F.call_function("shiftleft", one, n + 1) - 1
-        return let(F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), every, step), lambda bits: ids(edges, bits))
+        by_steps = F.aggregate(F.sequence(F.lit(1), n), every, step).bitwiseAND(F.bitwise_not(mark))
+        return let(let(F.aggregate(longer, every, sweep), lambda bits: F.when(bits < mark, bits).otherwise(by_steps)), lambda bits: ids(edges, bits))
 
     def ids(edges: Column, bits: Column) -> Column:
         symbols = F.filter(edges, lambda x: (bits.bitwiseAND(x["ends"]) == x["ends"]) & (bits.bitwiseAND(x["inner"]) == 0))
-        in_order = F.array_sort(F.transform(symbols, lambda x: F.struct(x["ends"].alias("ends"), x["id"].alias("id"))))
+        in_order = F.sort_array(F.transform(symbols, lambda x: F.struct(x["ends"].alias("ends"), x["id"].alias("id"))))
         known = F.transform(in_order, lambda x: x["id"])
         # characters without a piece: each position that is a symbol of its own and has no edge
         at = F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.call_function("getbit", bits, k) == 1)
@@ -285,7 +300,7 @@ def folded_merges(vocabulary: Vocabulary) -> Column:
         return F.when(F.size(symbols) == F.bit_count(bits) - 1, known).otherwise(each)
 
     merges = lambda edges: F.filter(edges, lambda x: x["inner"] != 0)
-    return let(F.transform(F.array_sort("edges"), masked), lambda edges: let(merges(edges), lambda longer: fold(edges, longer)))
+    return let(F.transform(F.sort_array("edges"), masked), lambda edges: let(merges(edges), lambda longer: fold(edges, longer)))
 
 
 def folded_viterbi(vocabulary: Vocabulary) -> Column:
