@@ -191,7 +191,7 @@ def blocked(docs: DataFrame, vocabulary: Vocabulary, payload: bool) -> DataFrame
             short = [(k, u) for k, u in enumerate(seen) if len(u) <= LONG]
             return rows(name, [u for _, u in short], [k for k, _ in short])
 
-        for b in batches:
+        for b in (x.slice(k, 256) for x in batches for k in range(0, len(x), 256)):  # few texts at once as Python objects
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 raw = (t or "").encode()
                 if size and size + len(raw) > BLOCK_BYTES:
