@@ -50,6 +50,21 @@ def test_tiers(spark):
     assert got == [(1, 1, 1), (2, 1, 2), (3, 1, 3), (3, 3, 3)]
 
 
+def test_best_match_beyond_the_first_candidates(spark):
+    from trackweave.plans import local_match as L
+
+    n = C.MOST + 5
+    track = "track_id long, track_name string, artist_name string, collection_name string, collection_id long, track_time_millis int, isrc string"
+    catalog = spark.createDataFrame([(i, "Golden Hour" if i == n else f"Golden Rain {i}", "Hot Artist", "Sun", i % 9, None, "") for i in range(1, n + 1)], track)
+    albums = spark.createDataFrame([(i, "Sun", "Hot Artist", "", 9) for i in range(9)], "collection_id long, collection_name string, artist_name string, collection_type string, track_count int")
+    asked = spark.createDataFrame([(1, "Golden Hour", "Hot Artist", "Sun", None, "")], "query_id long, title string, artist string, album_hint string, duration_ms int, isrc string")
+    words = L.prepared(asked)
+    assert L.candidates(words, catalog).count() == n
+    assert [(r.query_id, r.track_id) for r in L.matched(asked, catalog, albums).collect()] == [(1, n)]
+    limited = C.tiered(spark.createDataFrame([(1, ["golden"])], "query_id long, t array<string>"), catalog, {"t": "track_name"}, "track_id", 10)
+    assert sorted(r.row_id for r in limited.collect()) == list(range(1, 11))
+
+
 def test_best_pick(spark):
     rows = [(1, 0, 1, "notExplicit", False, 200000, 0.95), (1, 1, 1, "explicit", False, 203000, 0.9), (1, 2, 2, "notExplicit", False, 200500, 0.9), (1, 3, None, "explicit", True, 200000, 0.9)]
     df = spark.createDataFrame(rows, "q int, pos int, cid int, e string, live boolean, ms int, score double")

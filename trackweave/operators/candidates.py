@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 GRAM = 3
-#: Most candidates of a query, by id.
+#: The reference's limit of candidates of a query, for callers that ask for it.
 MOST = 3000
 
 
@@ -32,8 +32,8 @@ def field_hits(queries: DataFrame, words: str, catalog: DataFrame, field: str, r
     return asked.join(found, "word").select("query_id", "value").distinct().join(rows, "value").select("query_id", "row_id")
 
 
-def tiered(queries: DataFrame, catalog: DataFrame, fields: dict[str, str], row_id: str, most: int = MOST) -> DataFrame:
-    """(query_id, row_id, tier): the rows of the first tier that has any, at most ``most`` by id.
+def tiered(queries: DataFrame, catalog: DataFrame, fields: dict[str, str], row_id: str, most: int | None = None) -> DataFrame:
+    """(query_id, row_id, tier): all rows of the first tier that has any, or the first ``most`` of them by id if that is given.
 
     ``fields`` maps an array column of words in ``queries`` (title, artist, album in this order) to a catalog column.
     Tier 1: every field that has words is hit; tier 2: title and artist, if album words were asked too; tier 3: any.
@@ -54,4 +54,6 @@ def tiered(queries: DataFrame, catalog: DataFrame, fields: dict[str, str], row_i
     ranked = per_row.withColumn("tier", F.when(every, 1).when(relaxed, 2).otherwise(3))
     by_query = W.partitionBy("query_id")
     best = ranked.withColumn("best", F.min("tier").over(by_query)).filter("tier = best")
-    return best.withColumn("n", F.row_number().over(by_query.orderBy("row_id"))).filter(F.col("n") <= most).select("query_id", "row_id", "tier")
+    if most is not None:
+        best = best.withColumn("n", F.row_number().over(by_query.orderBy("row_id"))).filter(F.col("n") <= most)
+    return best.select("query_id", "row_id", "tier")

@@ -107,7 +107,7 @@ _ASKED = [(1, "widget", "brand#1", "promo"), (2, "cold", "brand#99", "promo"), (
            SELECT CAST(q AS BIGINT) AS query_id, tier, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS key_sum FROM numbered WHERE n <= 3000 GROUP BY q, tier""")
 def tiered_candidates(spark, sf_dir):
     asked = spark.createDataFrame([(q, [t], [a], [c]) for q, t, a, c in _ASKED], "query_id long, t array<string>, a array<string>, c array<string>")
-    hits = C.tiered(asked, tracks(spark, sf_dir), {"t": "track_name", "a": "artist_name", "c": "collection_name"}, "track_id")
+    hits = C.tiered(asked, tracks(spark, sf_dir), {"t": "track_name", "a": "artist_name", "c": "collection_name"}, "track_id", C.MOST)  # the SQL's n <= 3000
     return hits.groupBy("query_id", "tier").agg(F.count(F.lit(1)).alias("n"), F.sum("row_id").alias("key_sum"))
 
 
