@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.llm import exact_dedup, minhash_dedup, mixing, quality_classifier, sentencepiece_codec
-from trackweave.llm.common import held_out, new_folder
+from trackweave.llm.common import held_out, new_folder, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,22 +20,38 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_classifier.scored(docs, data).filter("predicted = 1").select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs``, written, with a number for each row (row_) and a hash of its values (tie_), as ids may repeat or be null."""
+    return written(docs.withColumns({"row_": F.monotonically_increasing_id(), "tie_": F.xxhash64(*docs.columns)}), "numbered")
+
+
+def picked(rows: DataFrame, best: DataFrame) -> DataFrame:
+    """Numbered rows that ``best`` (of, a column of row numbers) has, without their numbers."""
+    return rows.join(best, F.col("row_") == F.col("of"), "left_semi").drop("row_", "tie_")
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays. A null id stays if it is alone with its text."""
-    kept = exact_dedup.exact_groups(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Of the rows of equal texts the one with the largest id stays, and one only: nulls are least, equal ids are picked from by a hash."""
+    rows = numbered(docs)
+    groups = exact_dedup.exact_groups(rows, "row_").select(F.col("doc_id").alias("of"), "keep_id")
+    members = rows.select("doc_id", "tie_", "row_").join(groups, F.col("row_") == F.col("of"))
+    return picked(rows, members.groupBy("keep_id").agg(F.max(F.struct("doc_id", "tie_", "row_"))["row_"].alias("of")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by a similarity of 0.8 or more on five-word shingles, the one with the smallest id stays."""
-    kept = minhash_dedup.near_groups(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Of documents connected by a similarity of 0.8 or more on five-word shingles, the one with the smallest id stays.
+
+    Each row is a document of its own, also if its id repeats or is null; null is the last to stay.
+    """
+    rows = numbered(docs)
+    groups = minhash_dedup.near_groups(rows, "row_").select(F.col("doc_id").alias("of"), "component_id")
+    members = rows.select("doc_id", "tie_", "row_").join(groups, F.col("row_") == F.col("of"))
+    return picked(rows, members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie_", "row_"))["row_"].alias("of")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the curriculum takes them, in training order: one row per copy, none for those that the mix leaves out."""
-    mix = mixing.curriculum_mix(docs).filter("taken > 0").select(F.col("doc_id").alias("taken_id"), "positions")
-    copies = docs.join(mix, F.col("doc_id").eqNullSafe(F.col("taken_id"))).select(*docs.columns, F.explode("positions").alias("position_"))
+    copies = mixing.curriculum_mix(docs, carry=True).select("carried.*", F.explode("positions").alias("position_"))
     return copies.repartitionByRange("position_", "doc_id").sortWithinPartitions("position_", "doc_id").drop("position_")
 
 

@@ -353,6 +353,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert out and all(r.n_tokens == len(r.ids) > 0 for r in out)
 
 
+def test_pipeline_repeated_and_null_ids(spark):
+    import corpus_pipeline as P
+
+    table = lambda rows: spark.createDataFrame([(i, t, "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string, k int")
+    copies = [(7, "x"), (9, "X"), (7, "y"), (7, "Y"), (None, "z"), (None, "x"), (None, "w"), (None, "w"), (3, "v"), (3, "v")]
+    out = P.drop_copies(spark, table(copies), "").collect()
+    assert sorted(((r.doc_id or 0), r.text.lower()) for r in out) == [(0, "w"), (0, "z"), (3, "v"), (7, "y"), (9, "x")]
+
+    rng = random.Random(4)
+    a, b, c = (" ".join(rng.choice(VOCABULARY) + str(rng.randrange(99)) for _ in range(60)) for _ in range(3))
+    near = [(3, a), (5, a + " tail"), (5, b), (None, b + " tail"), (None, c), (None, c + " tail"), (8, c + " other tail"), (8, ""), (8, None)]
+    out = P.drop_near_copies(spark, table(near), "")
+    assert out.columns == ["doc_id", "text", "source", "k"] and sorted(r.k for r in out.collect()) == [0, 2, 6, 7, 8]
+
+    docs = table([(1, f"a b {k}") for k in range(12)] + [(None, f"c d {k}") for k in range(12)] + [(9, "")])
+    out = P.mix_sources(spark, docs, "").collect()
+    assert sum(len(r.text.split()) for r in out) == 72 and Counter(r.k for r in out) == dict.fromkeys(range(24), 1)
+
+
 def test_queries_are_registered():
     import __spark_entry__
 

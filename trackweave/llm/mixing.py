@@ -78,25 +78,35 @@ def order_key(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def curriculum_mix(docs: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, cap: int = CAP, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, positions, position.
+def curriculum_mix(docs: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, cap: int = CAP, doc_id: str = "doc_id", source: str = "source", text: str = "text", carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, positions, position; with ``carry`` also carried, a struct of all columns of ``docs``.
 
     Size is the number of words. A source's documents follow each other in a fixed pseudo-random order (ties
     by id), again and again until the target is met; a copy is taken if its middle word is within the target,
     so a source misses its target by at most half a document. ``positions`` has the training position in
     [0, 1] of each copy taken, ``position`` the first (null: not taken), ``taken`` the words of all copies.
 
-    Null or empty texts have size 0 and are never taken; a null source is a source of its own; rows that
+    Rows are carried through the running sums, not joined back, as ids may repeat or be null; rows of one id and source
+    share a bucket. Null or empty texts have size 0 and are never taken; a null source is a source of its own; rows that
     repeat an id count as documents of their own; an empty table gives no rows. Other columns of ``docs``
     are not looked at and may have any name.
     """
-    rows = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), order_key(F.col(doc_id)).alias("key")), "mix-sizes")
+    columns = [F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), order_key(F.col(doc_id)).alias("key")]
+    rows = written(docs.select(*columns), "mix-sizes")
     sources = small(written(targets(rows, schedules, cap), "mix-targets"), BROADCAST_SOURCES)
-    dealt = rows.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "s.class", "s.n_docs", "s.source_size", "s.target")
-    dealt = dealt.withColumn("bucket", F.floor(F.col("key") * F.ceil(F.sqrt("n_docs")) / F.lit(float(1 << 32)))).withColumn("place", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+
+    def deal(rows: DataFrame) -> DataFrame:
+        out = rows.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "s.class", "s.n_docs", "s.source_size", "s.target")
+        return out.withColumn("bucket", F.floor(F.col("key") * F.ceil(F.sqrt("n_docs")) / F.lit(float(1 << 32)))).withColumn("place", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+
+    dealt = deal(rows)
     before = W.partitionBy("place").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = dealt.groupBy("place", "bucket").agg(F.sum("size").alias("in_bucket")).select("place", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("start"))
-    within = W.partitionBy("place", "bucket").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    order, more = ["key", "doc_id"], []
+    if carry:
+        dealt = deal(docs.select(*columns, F.xxhash64(text).alias("tie"), F.struct(*[F.col(c) for c in docs.columns]).alias("carried")))
+        order, more = [*order, "tie"], ["carried"]
+    within = W.partitionBy("place", "bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     placed = dealt.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["place", "bucket"]).withColumn("middle", F.col("start") + F.col("inner") + F.col("size") / 2)
     copies = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.ceil((F.col("target") - F.col("middle")) / F.col("source_size")))).otherwise(0).cast("int")
     share = lambda k: (F.col("middle") + k * F.col("source_size")) / F.col("target")
@@ -108,7 +118,7 @@ def curriculum_mix(docs: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, c
         return at
 
     out = placed.withColumn("n", copies).withColumn("positions", F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.col("n") - 1), time)).otherwise(F.array().cast("array<double>")))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("n") * F.col("size")).cast("long").alias("taken"), "positions", F.get("positions", F.lit(0)).alias("position"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("n") * F.col("size")).cast("long").alias("taken"), "positions", F.get("positions", F.lit(0)).alias("position"), *more)
 
 
 def training_order(mix: DataFrame) -> DataFrame:
