@@ -50,3 +50,12 @@ def test_rows_are_lossless(spark, tmp_path):
     P.write_packed(rows, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out")).first()
     assert len(np.frombuffer(back.ids, "<i4")) == P.ROW == len(back.positions)
+
+
+def test_query_has_positions_and_binary_ids(spark, tmp_path):
+    spark.createDataFrame([(i, "some words " * 700) for i in range(3)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = P.op6_token_packing(spark, str(tmp_path)).collect()
+    assert rows and {i for r in rows for i in r.doc_ids} == {0, 1, 2}
+    for r in rows:
+        assert np.frombuffer(r.raw, "<i4").tolist() == r.ids and len(r.positions) == P.ROW
+        assert all(r.positions[a:b] == list(range(b - a)) for a, b in zip(r.cumulative, r.cumulative[1:]))

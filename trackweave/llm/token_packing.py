@@ -82,7 +82,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def pack_rows(docs: DataFrame, ranks: dict[bytes, int], end: int = END, length: int = ROW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Packed rows: ids (``length`` of them, filled with ``end``), cumulative (starts of the segments and the end of the last), doc_ids, starts (of a segment in its document).
+    """Packed rows: ids (``length`` of them, filled with ``end``), cumulative (starts of the segments and the end of the last), doc_ids, starts (of a segment in its document), raw (the ids as little-endian 32-bit numbers).
 
     A document's ids are those of its text and ``end``; a null or empty text has ``end`` alone. Positions begin anew
     with each segment, see positions(). Rows that repeat an id are documents of their own; an empty table gives no
@@ -101,7 +101,8 @@ def pack_rows(docs: DataFrame, ranks: dict[bytes, int], end: int = END, length:
             out[2].append([p[0] for p in own])
             out[3].append([p[1] for p in own])
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.list_(k)) for c, k in zip(out, kinds)], ["ids", "cumulative", "doc_ids", "starts"])
+        raw = pa.array([x.astype("<i4").tobytes() for x in out[0]], pa.binary())
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.list_(k)) for c, k in zip(out, kinds)], raw], ["ids", "cumulative", "doc_ids", "starts", "raw"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -125,7 +126,7 @@ def pack_rows(docs: DataFrame, ranks: dict[bytes, int], end: int = END, length:
             yield block(ids, tokens)
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return own.mapInArrow(each, "ids array<int>, cumulative array<int>, doc_ids array<long>, starts array<int>")
+    return own.mapInArrow(each, "ids array<int>, cumulative array<int>, doc_ids array<long>, starts array<int>, raw binary")
 
 
 def positions(cumulative, length: int = ROW):
@@ -136,15 +137,9 @@ def positions(cumulative, length: int = ROW):
 
 def write_packed(rows: DataFrame, path: str) -> None:
     """Write rows with their ids as little-endian 32-bit numbers in a binary column, beside segments and positions."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = [np.asarray(x.values, dtype="<i4").tobytes() for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), *b.columns[1:]], ["ids", "cumulative", "positions", "doc_ids", "starts"])
-
-    full = rows.select("ids", "cumulative", positions(F.col("cumulative")).alias("positions"), "doc_ids", "starts")
-    full.mapInArrow(each, "ids binary, cumulative array<int>, positions array<int>, doc_ids array<long>, starts array<int>").write.parquet(path)
+    rows.select(F.col("raw").alias("ids"), "cumulative", positions(F.col("cumulative")).alias("positions"), "doc_ids", "starts").write.parquet(path)
 
 
 def op6_token_packing(spark, sf_dir: str, ranks: str = RANKS) -> DataFrame:
-    return pack_rows(documents(spark, sf_dir), load_ranks(ranks))
+    """Packed rows of all documents with their positions, and their ids in binary too."""
+    return pack_rows(documents(spark, sf_dir), load_ranks(ranks)).withColumn("positions", positions(F.col("cumulative")))
