@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -210,6 +211,15 @@ def test_rule_cutoffs(spark, docs, empty):
     assert quality_rules.judged(empty, none).count() == 0
 
 
+def test_binomial_of_many():
+    for n, p, k in ((40, 0.3, 0), (40, 0.3, 9), (40, 0.3, 25), (40, 0.3, 39), (5000, 0.9, 4600)):
+        assert quality_rules.at_most(k, n, p) == pytest.approx(math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1)), rel=1e-9)
+    n, p = 10**9, 0.01
+    sd = math.sqrt(n * p * (1 - p))
+    for z in (0, -1, -3):
+        assert quality_rules.at_most(int(n * p + z * sd), n, p) == pytest.approx(math.erfc(-z / math.sqrt(2)) / 2, rel=5e-3)
+
+
 def test_language(spark, docs, empty):
     rng = random.Random(2)
     words = {"en": ["the", "and", "this", "house", "water"], "de": ["der", "und", "dieses", "straße", "wasser"]}

@@ -107,12 +107,32 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stratu
     return own.mapInArrow(each, COLUMNS)
 
 
+#: Terms of the binomial that are smaller than this part of the sum so far end it.
+LEAST_TERM = 1e-22
+
+
 def at_most(k: int, n: int, p: float) -> float:
-    """The chance of at most k successes in n trials of chance p, exactly."""
+    """The chance of at most k successes in n trials of chance p.
+
+    Terms are summed from the largest on, both ways, until they no longer count in a double.
+    """
     if k >= n:
         return 1.0
-    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
-    return min(1.0, math.fsum(math.exp(log(i)) for i in range(max(0, k - 2000), k + 1)))
+    top = min(k, int((n + 1) * p))
+    log = math.lgamma(n + 1) - math.lgamma(top + 1) - math.lgamma(n - top + 1) + top * math.log(p) + (n - top) * math.log1p(-p)
+    total = term = 1.0
+    for i in range(top, 0, -1):
+        term *= i * (1 - p) / ((n - i + 1) * p)
+        total += term
+        if term < LEAST_TERM * total:
+            break
+    term = 1.0
+    for i in range(top + 1, k + 1):
+        term *= (n - i + 1) * p / (i * (1 - p))
+        total += term
+        if term < LEAST_TERM * total:
+            break
+    return min(1.0, math.exp(log + math.log(total)))
 
 
 def safe_cutoff(n: int, rejected: list[int], cutoffs: tuple[float, ...], risk: float, level: float) -> float | None:
