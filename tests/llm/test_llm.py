@@ -307,6 +307,15 @@ def test_near_groups_odd(spark, empty):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash_dedup.near_groups(twice, width=2).collect()) == [(0, 0, True), (5, 5, True), (5, 5, True), (7, 5, False)]
 
 
+def test_block_pairs_with_equal_lower_halves(spark):
+    text = " ".join(VOCABULARY)
+    assert len(minhash_dedup.packed(spark.createDataFrame([(1, text)], "doc_id long, text string"), 2).first().hashes) == 8 * len(minhash_dedup.shingle_set(text.encode(), 2))
+    shared, low = np.arange(1, 81, dtype=np.uint64) << np.uint64(32), np.uint64(7)
+    own = [np.sort(np.concatenate([shared + low, (np.arange(a, a + 10, dtype=np.uint64) << np.uint64(32)) + np.arange(a, a + 10, dtype=np.uint64)])) for a in (100, 200)]
+    left, right = ([{"rep": i, "root": i, "hashes": s.tobytes()}] for i, s in enumerate(own))
+    assert minhash_dedup.block_pairs(left, right, 80) == [(0, 1)] and minhash_dedup.block_pairs(left, right, 81) == []
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 140)]

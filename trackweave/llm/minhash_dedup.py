@@ -106,22 +106,22 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def packed(texts: DataFrame, width: int) -> DataFrame:
-    """(doc_id, hashes): the lower 32 bits of the hashes of each text's set."""
+    """(doc_id, hashes): the hashes of each text's set, as 64-bit numbers."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, width).astype(np.uint32).tobytes() for t in utf8(b.column(1))], pa.binary())], ["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, width).tobytes() for t in utf8(b.column(1))], pa.binary())], ["doc_id", "hashes"])
 
     return texts.mapInArrow(each, "doc_id long, hashes binary")
 
 
 def block_pairs(left: list[dict], right: list[dict], percent: int) -> list[tuple[int, int]]:
-    """Pairs of ids of two blocks of sets (rep, root, hashes), in different components, that may be similar enough.
+    """Pairs of ids of two blocks of sets (rep, root, hashes), in different components, that are similar enough.
 
-    Intersections are counted for all pairs at once as a product of incidence matrices. Hashes of 32 bits may agree by
-    chance or fall together within a set, so two shingles are given in.
+    Intersections of the same 64-bit hashes that confirmed() compares are counted for all pairs at once as a product of
+    incidence matrices.
     """
-    sets = [[np.frombuffer(x["hashes"], np.uint32) for x in side] for side in (left, right)]
+    sets = [[np.frombuffer(x["hashes"], U64) for x in side] for side in (left, right)]
     known = np.unique(np.concatenate(sets[0]))
     rows = []
     for side in sets:
@@ -130,7 +130,7 @@ def block_pairs(left: list[dict], right: list[dict], percent: int) -> list[tuple
             at = np.minimum(np.searchsorted(known, s), len(known) - 1)
             m[i, at[known[at] == s]] = 1
         rows.append(m)
-    both = rows[0] @ rows[1].T + 2
+    both = (rows[0] @ rows[1].T).astype(np.int64)
     size = np.add.outer([len(s) for s in sets[0]], [len(s) for s in sets[1]])
     apart = np.not_equal.outer([x["root"] for x in left], [x["root"] for x in right])
     return [(left[i]["rep"], right[j]["rep"]) for i, j in zip(*np.nonzero(apart & (100 * both >= percent * (size - both))))]
