@@ -56,8 +56,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of each row: doc_id, ids, n_tokens."""
-    return sentencepiece_codec.encode(docs, sentencepiece_codec.Vocabulary.load(sentencepiece_codec.MODEL))
+    """SentencePiece ids of each row and the SHA-256 of the text that they decode to: doc_id, ids, n_tokens, decoded_sha256."""
+    vocabulary = sentencepiece_codec.Vocabulary.load(sentencepiece_codec.MODEL)
+    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, vocabulary), vocabulary)
+    return coded.select("doc_id", "ids", "n_tokens", F.sha2(F.col("text"), 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -65,7 +67,7 @@ STAGES = [
     ("exact dedup", drop_copies),
     ("MinHash near-dedup", drop_near_copies),
     ("mixing sources to target weights", mix_sources),
-    ("SentencePiece encoding", encode_texts),
+    ("SentencePiece encoding and decoding", encode_texts),
 ]
 
 #: No SQL expresses a trained classifier or SentencePiece ids; tests check the stages instead.

@@ -391,6 +391,14 @@ def test_pipeline_repeated_and_null_ids(spark):
     assert sum(len(r.text.split()) for r in out) == 72 and Counter(r.k for r in out) == dict.fromkeys(range(24), 1)
 
 
+def test_pipeline_decodes(spark):
+    import corpus_pipeline
+
+    given = ["one two", "Zwei  Wörter", "👍", ""]
+    out = corpus_pipeline.encode_texts(spark, spark.createDataFrame(list(enumerate(given)), "doc_id long, text string"), "").collect()
+    assert {r.doc_id: r.decoded_sha256 for r in out} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(given)}
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
