@@ -215,14 +215,14 @@ def short_string_distance(spark, sf_dir):
 @query()
 def indel_distance(spark, sf_dir):
     names = table(spark, sf_dir, "part").select("p_name").distinct()
-    pairs = names.select(F.col("p_name").alias("a")).join(names.select(F.col("p_name").alias("b")), F.substring("a", 1, 1) == F.substring("b", 1, 1))
+    pairs = names.select(F.col("p_name").alias("a")).crossJoin(names.select(F.col("p_name").alias("b")))
     return pairs.select("a", "b", F.round(D.basic_dist(F.col("a"), F.col("b")), 6).alias("distance"))
 
 
 @query()
 def title_similarity(spark, sf_dir):
     names = table(spark, sf_dir, "part").select("p_name").distinct()
-    pairs = names.select(F.col("p_name").alias("a")).join(names.select(F.col("p_name").alias("b")), F.substring_index("a", " ", -1) == F.substring_index("b", " ", -1))
+    pairs = names.select(F.col("p_name").alias("a")).crossJoin(names.select(F.col("p_name").alias("b")))
     return pairs.select("a", "b", F.round(D.title_similarity(F.col("a"), F.col("b")), 6).alias("similarity"), F.round(D.string_dist(F.col("a"), F.col("b")), 6).alias("distance"))
 
 
