@@ -14,12 +14,13 @@ and only passes on the pairs that are similar.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, documents, utf8, written
@@ -30,8 +31,8 @@ BANDS, ROWS = 25, 5
 #: Words of a shingle, and least similarity in percent.
 WIDTH, PERCENT = 5, 80
 
-#: Shingles of a block of sets that is compared with another at once.
-BLOCK = 1 << 14
+#: Shingles and sets of a block that is compared with another at once (a larger set is a block of its own), and rows of a batch that are Python objects at once.
+BLOCK, BLOCK_SETS, SLICE = 1 << 15, 512, 256
 
 U64 = np.uint64
 
@@ -87,12 +88,17 @@ class OnePermutation:
         return keys.view(np.int64)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of few rows, as their texts become Python objects."""
+    return (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE))
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, set_hash, bands) of rows (doc_id, text); the last two are null for an empty set or a null id."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = OnePermutation()
-        for b in batches:
+        for b in sliced(batches):
             n, digests, bands = [], [], []
             for i, t in zip(b.column(0).to_pylist(), utf8(b.column(1))):
                 s = shingle_set(t, width)
@@ -109,7 +115,7 @@ def packed(texts: DataFrame, width: int) -> DataFrame:
     """(doc_id, hashes): the hashes of each text's set, as 64-bit numbers."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, width).tobytes() for t in utf8(b.column(1))], pa.binary())], ["doc_id", "hashes"])
 
     return texts.mapInArrow(each, "doc_id long, hashes binary")
@@ -118,41 +124,59 @@ def packed(texts: DataFrame, width: int) -> DataFrame:
 def block_pairs(left: list[dict], right: list[dict], percent: int) -> list[tuple[int, int]]:
     """Pairs of ids of two blocks of sets (rep, root, hashes), in different components, that are similar enough.
 
-    Intersections of the same 64-bit hashes that confirmed() compares are counted for all pairs at once as a product of
-    incidence matrices.
+    The hashes of the right block are sorted with their owners; each left set finds its hashes among them and counts
+    by owner. That takes memory for the right block only.
     """
-    sets = [[np.frombuffer(x["hashes"], U64) for x in side] for side in (left, right)]
-    known = np.unique(np.concatenate(sets[0]))
-    rows = []
-    for side in sets:
-        m = np.zeros((len(side), len(known)), np.float32)
-        for i, s in enumerate(side):
-            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-            m[i, at[known[at] == s]] = 1
-        rows.append(m)
-    both = (rows[0] @ rows[1].T).astype(np.int64)
-    size = np.add.outer([len(s) for s in sets[0]], [len(s) for s in sets[1]])
-    apart = np.not_equal.outer([x["root"] for x in left], [x["root"] for x in right])
-    return [(left[i]["rep"], right[j]["rep"]) for i, j in zip(*np.nonzero(apart & (100 * both >= percent * (size - both))))]
-
-
-def blocks(members: DataFrame, total: str) -> DataFrame:
-    """Rows (key, rep, root, hashes) of a key in blocks of about BLOCK shingles, of which the key has ``total``: key, block, sets."""
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col(total) / BLOCK))
-    return members.groupBy("key", block.alias("block")).agg(F.collect_list(F.struct("rep", "root", "hashes")).alias("sets"))
+    sets = [np.frombuffer(x["hashes"], U64) for x in right]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    hashes, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owners = hashes[order], owners[order]
+    ids, roots_ = np.array([x["rep"] for x in right]), np.array([x["root"] for x in right])
+    found = []
+    for x in left:
+        own = np.frombuffer(x["hashes"], U64)
+        first, past = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+        counts = past - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        both = np.bincount(owners[at], minlength=len(sets))
+        near = (roots_ != x["root"]) & (100 * both >= percent * (len(own) + sizes - both))
+        found += [(x["rep"], int(i)) for i in ids[near]]
+    return found
+
+
+def level(n: Column, percent: int) -> Column:
+    """Number of a size class: sets that are similar enough are in the same or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / math.log(100.01 / percent)).cast("int")
+
+
+def blocks(members: DataFrame) -> DataFrame:
+    """Rows (key, level, rep, root, n, hashes) of a key and level in blocks of about BLOCK shingles and BLOCK_SETS sets: key, level, n_blocks, block, sets."""
+    counts = members.groupBy("key", "level").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("n_blocks"))
+    block = F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int").alias("block")
+    return members.join(counts, ["key", "level"]).select("key", "level", "n_blocks", block, "rep", "root", "hashes").groupBy("key", "level", "n_blocks", "block").agg(F.collect_list(F.struct("rep", "root", "hashes")).alias("sets"))
 
 
 def rest_pairs(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that may be similar: of each key's members outside its main component, with its members of other components."""
-    every = blocks(rest, "whole").select("key", F.col("sets").alias("right"))
-    other = blocks(rest.filter("root <> main"), "outside").select("key", F.col("sets").alias("left"))
+    """Pairs (a, b) that are similar: of each key's members (rep, root, n, hashes) outside its main component, with its members of other components.
+
+    Blocks of sets meet if their sizes allow it. Each pair of blocks is a row of its own key, so that those of one
+    bucket are spread over the tasks.
+    """
+    sized = rest.withColumn("level", level(F.col("n"), percent))
+    every = blocks(sized)
+    of = every.groupBy("key", F.col("level").alias("with_level")).agg(F.max("n_blocks").alias("with_blocks"))
+    other = blocks(sized.filter("root <> main")).select("key", F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)).alias("with_level"), F.col("sets").alias("left"))
+    other = other.join(of, ["key", "with_level"]).select("key", F.col("with_level").alias("level"), F.explode(F.sequence(F.lit(0), F.col("with_blocks") - 1)).alias("block"), "left")
+    both = other.join(every.select("key", "level", "block", F.col("sets").alias("right")), ["key", "level", "block"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(min(p), max(p)) for k in range(b.num_rows) for p in block_pairs(b.column(0)[k].as_py(), b.column(1)[k].as_py(), percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+            for k in range(b.num_rows):
+                found = [(min(p), max(p)) for p in block_pairs(b.column(0)[k].as_py(), b.column(1)[k].as_py(), percent)]
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
-    return other.join(every, "key").select("left", "right").mapInArrow(each, "a long, b long").distinct()
+    return both.select("left", "right").mapInArrow(each, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -160,7 +184,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, np.zeros(0, U64)
-        for b in batches:
+        for b in sliced(batches):
             keep = []
             for i, s, t in zip(b.column(0).to_pylist(), utf8(b.column(2)), utf8(b.column(3))):
                 if i != last:
@@ -186,12 +210,13 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     signed = written(signatures(own, width), "signatures")
     classes = signed.filter("set_hash IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "classes")
-    reps = written(signed.join(classes, (signed.set_hash == classes.set_hash) & (F.col("doc_id") == F.col("rep"))).select("rep", F.col("n_shingles").alias("n"), "bands"), "reps")
-    banded = written(reps.select("rep", "n", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "rep", "n").distinct(), "banded")
+    # sets so small that one shingle more or less is too much can only be linked with equal sets, which are one class already
+    linkable = signed.filter(100 * F.col("n_shingles") >= percent * (F.col("n_shingles") + 1)).withColumnRenamed("set_hash", "of")
+    reps = linkable.join(classes, (F.col("of") == F.col("set_hash")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["set_hash"])
+    banded = written(reps.select(F.explode("bands").alias("key"), "rep", F.col("n_shingles").alias("n")), "banded")
     shared = banded.groupBy("key").agg(F.min("rep").alias("center"), F.min(F.struct("rep", "n"))["n"].alias("center_n"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
     members = written(banded.join(written(shared, "buckets"), "key"), "members")
-    needed = members.select(F.col("rep").alias("of")).distinct()
-    texts = written(own.join(written(needed, "needed"), F.col("doc_id") == F.col("of"), "left_semi"), "texts")
+    texts = written(own.join(members.select(F.col("rep").alias("of")).distinct(), F.col("doc_id") == F.col("of"), "left_semi"), "texts")
     alike = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
     stars = written(members.filter((F.col("rep") != F.col("center")) & alike(F.col("n"), F.col("center_n"))).select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
@@ -201,15 +226,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     # the rest: members of a bucket in different components
     rooted = members.join(found, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
     rooted = written(rooted, "rooted")
-    counts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
-    largest = counts.groupBy("key").agg(F.max(F.struct("c", "root", "n")).alias("main"), F.sum("n").alias("whole"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    largest = written(largest.select("key", F.col("main.root").alias("main"), "whole", (F.col("whole") - F.col("main.n")).alias("outside")), "largest")
-    rest = written(rooted.join(largest, "key").drop("n"), "rest")
-    unsure = written(rest.select(F.col("rep").alias("of")).distinct(), "unsure")
-    hashes = written(packed(texts.join(unsure, F.col("doc_id") == F.col("of")).select("doc_id", "text"), width), "hashes")
+    counts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    largest = counts.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
+    rest = written(rooted.join(written(largest, "largest"), "key"), "rest")
+    hashes = written(packed(texts.join(rest.select(F.col("rep").alias("of")).distinct(), F.col("doc_id") == F.col("of"), "left_semi").select("doc_id", "text"), width), "hashes")
     cross = rest_pairs(rest.join(hashes, F.col("rep") == F.col("doc_id")), percent)
-    cross = cross.join(stars, ["a", "b"], "left_anti")
-    more = written(confirmed(written(cross, "cross"), texts, width, percent), "more-links")
+    more = written(cross, "more-links")
     if not more.isEmpty():
         found = written(roots(links.union(more).toDF("u", "v")), "roots")
 
