@@ -7,7 +7,9 @@ unigram vocabulary the fold is Viterbi, for the best sum of scores. A BPE vocabu
 but by its merges, so for it the fold applies, of the lattice's edges that join two neighbouring symbols, the one of the
 highest score (ties: the leftmost) until there is none. Characters without a piece become bytes.
 
-Ids go back to the blocks by block and number of the unit, packed, and meet the block's texts, which travel compressed.
+An edge is packed into a number: rank of its score, start, end, id, and whether it is early. Edges of one character need no
+join: they are looked up by the character's code. Ids go back to the blocks by block and number of the unit, packed, and
+meet the block's texts, which travel compressed.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import filterfalse
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,17 @@ from .common import documents
 #: The vocabulary of the queries.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: UTF-8 bytes of the texts of a block and of a chunk of it, and what a row counts besides its text.
-BLOCK_BYTES, CHUNK_BYTES, ROW_BYTES = 32 << 20, 2 << 20, 16
+BLOCK_BYTES, CHUNK_BYTES, ROW_BYTES = 16 << 20, 1 << 20, 16
 #: Units longer than this (runs of one kind of character) are encoded in their block. Places of units that a task gathers before it sends them.
 LONG, GATHERED = 48, 1 << 19
+#: Words whose ids are put together at once (or one text).
+AT_ONCE = 1 << 17
 SPACE = "▁"
 #: A bit beyond those of a unit's symbols.
 MARK = 1 << 62
+#: First bits of an edge's fields (early is bit 0), the id of a character without a piece, and codes below which a character's id is found in a table.
+ID, END, START, RANK = 1, 21, 27, 33
+NONE, NEAR = (1 << 31) - 1, 768
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
@@ -59,10 +66,10 @@ class Vocabulary:
         self.longest = max(map(len, self.ids), default=1)
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
         self.bytes = {int(p[3:-1], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
-        self.words, self.cuts = self._cuts()
+        self.words, self.cuts, self.simple = self._cuts()
 
-    def _cuts(self) -> tuple[str, str]:
-        """Patterns whose matches are the words of a text, and the units of a word. No piece may lie in two of them."""
+    def _cuts(self) -> tuple[str, str, bool]:
+        """Patterns whose matches are the words of a text, and the units of a word. No piece may lie in two of them. Last: whether letters are one unit and the signs after them another."""
         odd = ""
         for p in self.ids:  # letters that some piece joins with other characters count as those
             for a, b in zip(p, p[1:]):
@@ -70,11 +77,14 @@ class Vocabulary:
                     odd += a
                 if re.match(r"[^\W\d_]", b) and re.match(rf"(?![^\W\d_]|{SPACE}).", a, re.S):
                     odd += b
+        letters = any(map(str.isalpha, odd))
         odd = "".join(map(re.escape, dict.fromkeys(odd)))
         kinds = rf"{SPACE}*[^\W\d_{odd}]+|{SPACE}*(?:[^\w{SPACE}]|[_{odd}])+|{SPACE}+|\d"
         words, whole = rf"{SPACE}*[^{SPACE}]+|{SPACE}+", r"[\s\S]+"
         fits = lambda pattern: all(re.findall(pattern, p) == [p] for p in self.ids)
-        return (words if fits(words) else whole), (kinds if fits(kinds) and fits(words) else words if fits(words) else whole)
+        if fits(words) and fits(kinds):
+            return words, kinds, self.prefix and not letters
+        return (words, words, False) if fits(words) else (whole, whole, False)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -141,6 +151,89 @@ class Vocabulary:
         return [bytes([int(p[3:-1], 16)]) if k == BYTE else b"" if k == CONTROL else p.encode() for p, k in zip(self.pieces, self.kinds)]
 
 
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of all elements of runs that start at ``starts`` and are ``lengths`` long."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Block:
+    """The texts of a block as numbers of words, and these as numbers of units.
+
+    Texts whose words are parted by single spaces are cut at once by Arrow, and so are words of letters with signs
+    after them; other texts and words are cut by the vocabulary's patterns. Units are numbered as they first appear.
+    """
+
+    def __init__(self, texts: pa.Array, vocabulary: Vocabulary):
+        split, cut = re.compile(vocabulary.words).findall, re.compile(vocabulary.cuts).findall
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE))
+        odd = pc.or_(odd, pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+        odd = odd.to_numpy(zero_copy_only=False) if vocabulary.simple else np.ones(len(texts), bool)
+        empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
+        self.plain, self.odd = np.flatnonzero(~odd & ~empty), np.flatnonzero(odd | empty)
+
+        lists = pc.split_pattern(texts.take(pa.array(self.plain)), " ")
+        words = lists.flatten().dictionary_encode()
+        self.plain_words, self.plain_counts = words.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
+        words = words.dictionary
+        letters = pc.utf8_rtrim(words, characters=punctuation)
+        whole = pc.utf8_is_alpha(letters).to_numpy(zero_copy_only=False)
+        tailed = whole & (pc.binary_length(letters).to_numpy() < pc.binary_length(words).to_numpy())
+        at = np.flatnonzero(tailed)
+        tails = pc.struct_field(pc.extract_regex(words.take(pa.array(at)), rf"(?P<tail>[{re.escape(punctuation)}]+)$"), "tail")
+        fronts = pc.binary_join_element_wise(SPACE, letters.take(pa.array(np.flatnonzero(whole))), "")
+
+        known: dict[str, int] = {}
+        rare: list[str] = []
+        of: list[int] = []
+        for k, w in zip(np.flatnonzero(~whole).tolist(), words.take(pa.array(np.flatnonzero(~whole))).to_pylist()):
+            units = cut(SPACE + w)
+            rare += units
+            of += [k] * len(units)
+        odd_words, self.odd_counts = [], []
+        for t in texts.take(pa.array(self.odd)).to_pylist():
+            found = split(vocabulary.normalized(t))
+            self.odd_counts.append(len(found))
+            odd_words += [known.setdefault(w, len(known)) for w in found]
+        self.odd_words = np.array(odd_words, np.int64) + len(words)
+        for k, w in enumerate(known, len(words)):
+            units = cut(w)
+            rare += units
+            of += [k] * len(units)
+
+        coded = pa.concat_arrays([fronts, tails, pa.array(rare, pa.string())]).dictionary_encode()
+        self.units = coded.dictionary
+        self.n_words = len(words) + len(known)
+        word = np.concatenate([np.flatnonzero(whole), at, np.array(of, np.int64)])
+        rank = np.concatenate([np.zeros(int(whole.sum()), np.int8), np.ones(len(at), np.int8), np.zeros(len(of), np.int8)])  # a tail comes after its letters
+        order = np.lexsort((rank, word))
+        self.word_of, self.units_of = word[order], coded.indices.to_numpy()[order]
+
+    def short(self) -> tuple[np.ndarray, pa.Array]:
+        """Numbers and texts of the units of at most LONG characters."""
+        at = np.flatnonzero(pc.utf8_length(self.units).to_numpy() <= LONG)
+        return at, self.units.take(pa.array(at))
+
+    def encoded(self, starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids of all texts, some at once: numbers of the texts, counts of their ids, ids. ``flat`` has the ids of unit k from ``starts[k]`` on."""
+        own = lengths[self.units_of]
+        flat = flat[spread(starts[self.units_of], own)]
+        sizes = np.bincount(self.word_of, own, self.n_words).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        for texts, words, counts in ((self.plain, self.plain_words, self.plain_counts), (self.odd, self.odd_words, np.array(self.odd_counts, np.int64))):
+            ends = np.cumsum(counts, dtype=np.int64)
+            a = 0
+            while a < len(texts):
+                done = int(ends[a] - counts[a])
+                b = max(a + 1, int(np.searchsorted(ends, done + AT_ONCE, "right")))
+                part = words[done : int(ends[b - 1])]
+                cumulative = np.concatenate([[0], np.cumsum(sizes[part])])
+                at = np.concatenate([[0], ends[a:b] - done])
+                yield texts[a:b], np.diff(cumulative[at]), flat[spread(starts[part], sizes[part])]
+                a = b
+
+
 def state(vocabulary: Vocabulary) -> tuple:
     """What a broadcast carries of a vocabulary."""
     return vocabulary.pieces, vocabulary.scores, vocabulary.kinds, vocabulary.model, vocabulary.prefix
@@ -159,86 +252,112 @@ def blocked(docs: DataFrame, vocabulary: Vocabulary, payload: bool) -> DataFrame
     A block is named by the hash of its ids and texts, and units are numbered in the order they first appear, so two
     passes over the same input agree.
     """
-    words, cuts, prefix = vocabulary.words, vocabulary.cuts, vocabulary.prefix
-
-    def chunk(ids: list, texts: list[str | None]) -> bytes:
-        sink = pa.BufferOutputStream()
-        table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_string())})
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
-            out.write_table(table)
-        return sink.getvalue().to_pybytes()
-
-    def rows(name: xxhash.xxh3_64, values: list, numbers: list[int]) -> Iterator[pa.RecordBatch]:
-        block, kind = name.intdigest() - (1 << 63), pa.binary() if payload else pa.string()
-        step = 4 if payload else 1 << 16
-        for k in range(0, len(values), step):
-            part = values[k : k + step]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(numbers[k : k + step], pa.int32()), pa.array(part, kind)], ["block", "number", "payload" if payload else "unit"])
+    shared = docs.sparkSession.sparkContext.broadcast({"state": state(vocabulary)})
+
+    def named(ids: pa.Array, texts: pa.Array) -> int:
+        name = xxhash.xxh3_64()
+        for part in (pc.fill_null(ids, 0), pc.is_null(ids), pc.fill_null(texts, ""), pc.is_null(texts)):
+            for buffer in pa.concat_arrays([part]).buffers()[1:]:
+                name.update(buffer or b"")
+        return name.intdigest() - (1 << 63)
+
+    def chunks(ids: pa.Array, texts: pa.Array) -> Iterator[bytes]:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64) + ROW_BYTES)
+        a = 0
+        while a < len(ids):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK_BYTES, "right")))
+            sink = pa.BufferOutputStream()
+            table = pa.table({"doc_id": ids.slice(a, b - a), "text": texts.slice(a, b - a)})
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
+                out.write_table(table)
+            yield sink.getvalue().to_pybytes()
+            a = b
+
+    def ended(held_rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts = (pa.concat_arrays([b.column(k) for b in held_rows]) for k in (0, 1))
+        block = named(ids, texts)
+        if payload:
+            for k, c in enumerate(chunks(ids, texts)):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([k], pa.int32()), pa.array([c], pa.binary())], ["block", "number", "payload"])
+            return
+        numbers, units = Block(texts, held(shared.value)).short()
+        for k in range(0, len(numbers), 1 << 16):
+            part = numbers[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part.astype(np.int32)), units.slice(k, 1 << 16)], ["block", "number", "unit"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, cut = re.compile(words).findall, re.compile(cuts).findall
-        name, size, chunks = xxhash.xxh3_64(), 0, []
-        ids: list = []
-        texts: list[str | None] = []
-        held_bytes = 0
-        known: set[str] = set()
-        seen: dict[str, None] = {}
-
-        def ended() -> Iterator[pa.RecordBatch]:
-            if payload:
-                whole = [*chunks, chunk(ids, texts)] if ids else chunks
-                return rows(name, whole, list(range(len(whole))))
-            short = [(k, u) for k, u in enumerate(seen) if len(u) <= LONG]
-            return rows(name, [u for _, u in short], [k for k, _ in short])
-
-        for b in (x.slice(k, 256) for x in batches for k in range(0, len(x), 256)):  # few texts at once as Python objects
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = (t or "").encode()
-                if size and size + len(raw) > BLOCK_BYTES:
-                    yield from ended()
-                    name, size, chunks, ids, texts, held_bytes, known, seen = xxhash.xxh3_64(), 0, [], [], [], 0, set(), {}
-                name.update(f"{i} {len(raw)} ".encode())
-                name.update(raw)
-                size += len(raw) + ROW_BYTES
-                if payload:
-                    ids.append(i)
-                    texts.append(t)
-                    held_bytes += len(raw) + ROW_BYTES
-                    if held_bytes >= CHUNK_BYTES:
-                        chunks.append(chunk(ids, texts))
-                        ids, texts, held_bytes = [], [], 0
-                elif t:
-                    new = list(filterfalse(known.__contains__, dict.fromkeys(split(SPACE * prefix + t.replace(" ", SPACE)))))
-                    known.update(new)
-                    seen.update(dict.fromkeys(cut("".join(new))))  # words stay apart: each but a text's first begins with spaces, and only its last can consist of them
-        if size:
-            yield from ended()
-
-    return docs.mapInArrow(each, "block long, number int, payload binary" if payload else "block long, number int, unit string")
+        held_rows: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().astype(np.int64) + ROW_BYTES)
+            a = 0
+            while a < len(b):
+                done = int(ends[a - 1]) if a else 0
+                fit = int(np.searchsorted(ends, done + BLOCK_BYTES - size, "right"))
+                fit = max(fit, a if size else a + 1)  # a text that is larger than a block is one of its own
+                if fit > a:
+                    held_rows.append(b.slice(a, fit - a))
+                    size += int(ends[fit - 1]) - done
+                if fit < len(b):
+                    yield from ended(held_rows)
+                    held_rows, size = [], 0
+                a = fit
+        if held_rows:
+            yield from ended(held_rows)
+
+    return docs.mapInArrow(each, f"block long NOT NULL, number int NOT NULL, {'payload binary' if payload else 'unit string'} NOT NULL")
 
 
 def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
-    """Pieces with their ids and scores, and whether a piece that contains them has as high a score (early)."""
+    """Pieces of two characters and more with the code of their edges at 0; early: a piece that contains this one has as high a score."""
     ids, scores = vocabulary.ids, vocabulary.scores
     early = {q for p, i in ids.items() for s in range(len(p)) for e in range(s + 1, len(p) + 1) if (q := p[s:e]) != p and q in ids and scores[i] >= scores[ids[q]]}
-    return spark.createDataFrame([(p, i, float(scores[i]), p in early) for p, i in ids.items()], "piece string, id int, score double, early boolean")
+    rank = {x: k for k, x in enumerate(sorted({-scores[i] for i in ids.values()}))}
+    return spark.createDataFrame([(p, (rank[-scores[i]] << RANK) + (i << ID) + (p in early)) for p, i in ids.items() if len(p) > 1], "piece string, code long")
 
 
-def lattices(units: DataFrame, pieces: DataFrame, longest: int, *carried: str) -> DataFrame:
-    """Distinct units, each with its edges (cost, s, e, id, early; cost is the negative score): its substrings that are pieces. ``carried`` columns are kept.
+def lattices(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """Distinct units, each with its edges of two characters and more (packed): its substrings that are pieces.
 
     ``units`` should be partitioned by unit already: then nothing is shuffled here. The piece table has a fixed size
-    and is broadcast. Groups are sorted by the unit's hash first, which is compared faster than strings.
+    and is broadcast.
     """
-    n = F.length("unit")
-    spread = units.select("unit", *carried, F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spread = spread.select("unit", *[F.when(F.col("s") == 0, F.col(c)).alias(c) for c in carried], "s", F.substring("unit", F.col("s") + 1, F.lit(longest)).alias("rest"))
-    spread = spread.select("unit", *carried, "s", "rest", F.explode(F.sequence(F.lit(1), F.length("rest"))).alias("k"))
-    spread = spread.select("unit", *[F.when(F.col("k") == 1, F.col(c)).alias(c) for c in carried], "s", "k", F.substring("rest", F.lit(1), F.col("k")).alias("part"))
-    first = (F.col("s") == 0) & (F.col("k") == 1)
-    edges = spread.join(F.broadcast(pieces), F.col("part") == F.col("piece"), "left").filter(first | F.col("id").isNotNull())
-    edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "s", (F.col("s") + F.col("k")).alias("e"), "id", "early"))
-    return edges.groupBy(F.xxhash64("unit").alias("hash"), "unit").agg(F.collect_list(edge).alias("edges"), *[F.first(c, ignorenulls=True).alias(c) for c in carried]).drop("hash")
+    spread = units.select("unit", F.explode(F.sequence(F.lit(0), F.greatest(F.length("unit") - 2, F.lit(0)))).alias("s"))
+    spread = spread.select("unit", "s", F.substring("unit", F.col("s") + 1, F.lit(longest)).alias("rest"))
+    spread = spread.select("unit", "s", "rest", F.explode(F.sequence(F.lit(2), F.greatest(F.length("rest"), F.lit(2)))).alias("k"))
+    spread = spread.select("unit", "s", "k", F.substring("rest", F.lit(1), F.col("k")).alias("part"))
+    first = (F.col("s") == 0) & (F.col("k") == 2)  # a unit stays, with or without edges
+    edges = spread.join(F.broadcast(pieces), F.col("part") == F.col("piece"), "left").filter(first | F.col("code").isNotNull())
+    edge = F.col("code") + F.shiftleft(F.col("s").cast("long"), START) + F.shiftleft((F.col("s") + F.col("k")).cast("long"), END)
+    return edges.select("unit", edge.alias("edge")).groupBy("unit").agg(F.collect_list("edge").alias("edges"))
+
+
+def field(edge: Column, bit: int, width: int) -> Column:
+    """A field of a packed edge."""
+    return F.shiftright(edge, bit).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def start_of(edge: Column) -> Column:
+    return field(edge, START, RANK - START).cast("int")
+
+
+def end_of(edge: Column) -> Column:
+    return field(edge, END, START - END).cast("int")
+
+
+def id_of(edge: Column) -> Column:
+    return field(edge, ID, END - ID).cast("int")
+
+
+def single(vocabulary: Vocabulary, char: Column) -> Column:
+    """Id of the piece of one character, NONE if it has none."""
+    ids = {p: i for p, i in vocabulary.ids.items() if len(p) == 1}
+    numbers = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<int>")
+    far = [p for p in ids if ord(p) >= NEAR]
+    found = F.get(numbers([ids.get(chr(k), NONE) for k in range(NEAR)]), F.ascii(char))
+    if far:
+        found = F.when(F.ascii(char) < NEAR, found).otherwise(F.get(numbers([ids[p] for p in far]), F.instr(F.lit("".join(far)), char) - 1))
+    return F.coalesce(found, F.lit(NONE))
 
 
 def let(value: Column, body) -> Column:
@@ -266,61 +385,62 @@ def folded_merges(vocabulary: Vocabulary) -> Column:
     """
     n, one = F.length("unit"), F.lit(1).cast("long")
     mark = F.lit(MARK).cast("long")
+    left = lambda x, by: F.call_function("shiftleft", x, by)
 
     def masked(x: Column) -> Column:
-        s, e = x["s"], x["e"]
-        ends = F.call_function("shiftleft", one, s).bitwiseOR(F.call_function("shiftleft", one, e))
-        return F.struct(ends.alias("ends"), (F.call_function("shiftleft", one, e) - F.call_function("shiftleft", one, s + 1)).alias("inner"), x["id"].alias("id"), x["early"].alias("early"), x["cost"].alias("cost"))
+        s, e = start_of(x), end_of(x)
+        return F.struct(left(one, s).bitwiseOR(left(one, e)).alias("ends"), (left(one, e) - left(one, s + 1)).alias("inner"), x.alias("edge"))
 
     def mergeable(bits: Column, x: Column) -> Column:
         return (bits.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(bits.bitwiseAND(x["inner"])) == 1)
 
-    def fold(edges: Column, longer: Column) -> Column:
+    def fold(edges: Column) -> Column:
         def step(bits: Column, _: Column) -> Column:
-            inner = F.get(F.filter(longer, lambda x: mergeable(bits, x)), F.lit(0))["inner"]
+            inner = F.get(F.filter(edges, lambda x: mergeable(bits, x)), F.lit(0))["inner"]
             return F.when(bits >= mark, bits).otherwise(F.coalesce(bits.bitwiseAND(F.bitwise_not(inner)), bits.bitwiseOR(mark)))  # marked: nothing is left to merge
 
         def sweep(bits: Column, x: Column) -> Column:
             merged = bits.bitwiseAND(F.bitwise_not(x["inner"]))
-            passed = x["early"] & F.exists(longer, lambda y: (y["cost"] <= x["cost"]) & mergeable(merged, y))
+            passed = (field(x["edge"], 0, 1) == 1) & F.exists(edges, lambda y: (y["edge"] <= x["edge"]) & mergeable(merged, y))
             return F.when(bits >= mark, bits).when(mergeable(bits, x), F.when(passed, mark).otherwise(merged)).otherwise(bits)
 
-        every = F.call_function("shiftleft", one, n + 1) - 1
+        every = left(one, n + 1) - 1
         by_steps = F.aggregate(F.sequence(F.lit(1), n), every, step).bitwiseAND(F.bitwise_not(mark))
-        return let(let(F.aggregate(longer, every, sweep), lambda bits: F.when(bits < mark, bits).otherwise(by_steps)), lambda bits: ids(edges, bits))
+        return let(let(F.aggregate(edges, every, sweep), lambda bits: F.when(bits < mark, bits).otherwise(by_steps)), lambda bits: ids(edges, bits))
 
     def ids(edges: Column, bits: Column) -> Column:
+        """Symbols of several characters from the edges and those of one from the characters, in order: the start's number in the upper half, the id in the lower."""
         symbols = F.filter(edges, lambda x: (bits.bitwiseAND(x["ends"]) == x["ends"]) & (bits.bitwiseAND(x["inner"]) == 0))
-        in_order = F.sort_array(F.transform(symbols, lambda x: F.struct(x["ends"].alias("ends"), x["id"].alias("id"))))
-        known = F.transform(in_order, lambda x: x["id"])
-        # characters without a piece: each position that is a symbol of its own and has no edge
-        at = F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.call_function("getbit", bits, k) == 1)
-        own = lambda k: F.get(F.filter(symbols, lambda x: (F.call_function("getbit", x["ends"], k) == 1) & (x["ends"] >= F.call_function("shiftleft", one, k + 1))), F.lit(0))["id"]
-        each = F.flatten(F.transform(at, lambda k: let(own(k), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(_bytes(vocabulary, F.substring("unit", k + 1, F.lit(1)))))))
-        return F.when(F.size(symbols) == F.bit_count(bits) - 1, known).otherwise(each)
+        several = F.transform(symbols, lambda x: F.shiftleft(start_of(x["edge"]).cast("long"), 32) + id_of(x["edge"]))
+        both = bits.bitwiseAND(F.shiftright(bits, 1))
+        alone = F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.call_function("getbit", both, k) == 1)
+        alone = F.transform(alone, lambda k: F.shiftleft(k.cast("long"), 32) + single(vocabulary, F.substring("unit", k + 1, F.lit(1))))
+        low = lambda x: field(x, 0, 32).cast("int")
+        spelled = lambda x: F.when(low(x) == NONE, _bytes(vocabulary, F.substring("unit", F.shiftright(x, 32).cast("int") + 1, F.lit(1)))).otherwise(F.array(low(x)))
+        return let(F.sort_array(F.concat(several, alone)), lambda all_: F.when(F.exists(all_, lambda x: low(x) == NONE), F.flatten(F.transform(all_, spelled))).otherwise(F.transform(all_, low)))
 
-    merges = lambda edges: F.filter(edges, lambda x: x["inner"] != 0)
-    return let(F.transform(F.sort_array("edges"), masked), lambda edges: let(merges(edges), lambda longer: fold(edges, longer)))
+    return let(F.transform(F.sort_array("edges"), masked), fold)
 
 
 def folded_viterbi(vocabulary: Vocabulary) -> Column:
     """Ids of ``unit`` from ``edges`` by the best sum of scores."""
     n, edges = F.length("unit"), F.col("edges")
     low = min((vocabulary.scores[i] for i in vocabulary.ids.values()), default=0.0) + PENALTY
+    scores = F.split(F.lit(",".join(map(repr, map(float, vocabulary.scores)))), ",").cast("array<double>")
     node = lambda score, back, id_: F.struct(score.alias("score"), back.alias("back"), id_.alias("id"))
 
     def reach(nodes: Column, e: Column) -> Column:
-        known = F.transform(F.filter(edges, lambda x: x["e"] == e), lambda x: node(F.get(nodes, x["s"])["score"] - x["cost"], x["s"], x["id"]))
-        single = node(F.get(nodes, e - 1)["score"] + F.lit(low), e - 1, F.lit(-1))
-        return F.concat(nodes, F.array(F.array_max(F.concat(known, F.array(single)))))
+        known = F.transform(F.filter(edges, lambda x: end_of(x) == e), lambda x: node(F.get(nodes, start_of(x))["score"] + F.get(scores, id_of(x)), start_of(x), id_of(x)))
+        char = lambda i: node(F.get(nodes, e - 1)["score"] + F.coalesce(F.get(scores, i), F.lit(low)), e - 1, i)
+        return F.concat(nodes, F.array(F.array_max(F.concat(known, F.array(let(single(vocabulary, F.substring("unit", e, F.lit(1))), char))))))
 
-    nodes = F.aggregate(F.sequence(F.lit(1), n), F.array(node(F.lit(0.0), F.lit(0), F.lit(-1))), reach)
+    nodes = F.aggregate(F.sequence(F.lit(1), n), F.array(node(F.lit(0.0), F.lit(0), F.lit(NONE))), reach)
 
     def ids(nodes: Column) -> Column:
         def back(path: Column, _: Column) -> Column:
             e = path["at"]
             x = F.get(nodes, e)
-            own = F.when(x["id"] >= 0, F.array(x["id"])).otherwise(_bytes(vocabulary, F.substring("unit", e, F.lit(1))))
+            own = F.when(x["id"] < NONE, F.array(x["id"])).otherwise(_bytes(vocabulary, F.substring("unit", e, F.lit(1))))
             return F.when(e == 0, path).otherwise(F.struct(x["back"].alias("at"), F.concat(own, path["ids"]).alias("ids")))
 
         return F.aggregate(F.sequence(F.lit(1), n), F.struct(n.alias("at"), F.array().cast("array<int>").alias("ids")), back, lambda path: path["ids"])
@@ -328,26 +448,28 @@ def folded_viterbi(vocabulary: Vocabulary) -> Column:
     return let(nodes, ids)
 
 
-def encoded_units(units: DataFrame, vocabulary: Vocabulary, *carried: str) -> DataFrame:
+def encoded_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Distinct short units (not empty) with their ids."""
     pieces = piece_table(units.sparkSession, vocabulary)
     fold = folded_viterbi(vocabulary) if vocabulary.model == UNIGRAM else folded_merges(vocabulary)
-    return lattices(units, pieces, min(vocabulary.longest, LONG), *carried).select("unit", fold.alias("ids"), *carried)
+    return lattices(units, pieces, min(vocabulary.longest, LONG)).select("unit", fold.alias("ids"))
 
 
-def gathered(coded: DataFrame) -> DataFrame:
-    """Units with ``places`` and packed ``ids``, as rows (block, number, payload) of all that a task has for a block; number is -1.
+def gathered(coded: DataFrame, code: str) -> DataFrame:
+    """Rows (block, number, ids) as rows (block, number, payload) of all that a task has for a block; number is -1.
 
-    A payload has the count, the units' numbers in order as differences, the lengths of their ids in bytes, and the ids.
+    A payload has the count, the units' numbers in order as differences, the lengths of their ids in bytes, and the ids
+    as numbers of the kind ``code``.
     """
 
     def rows(blocks: np.ndarray, numbers: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
         order = np.lexsort((numbers, blocks))
         blocks, numbers, ids = blocks[order], numbers[order], ids.take(pa.array(order))
         starts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
-        lengths = pc.binary_length(ids).to_numpy().astype("<u2")
+        width = np.dtype(code).itemsize
+        lengths = (pc.list_value_length(ids).to_numpy() * width).astype("<u2")
         ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-        raw = b"".join(ids.to_pylist())
+        raw = ids.flatten().to_numpy().astype(code).tobytes()
         out = []
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(blocks)]):
             head = np.diff(numbers[a:b], prepend=0).astype("<i4")
@@ -355,32 +477,23 @@ def gathered(coded: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(blocks[starts], pa.int64()), pa.array([-1] * len(out), pa.int32()), pa.array(out, pa.binary())], ["block", "number", "payload"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_rows: list[tuple] = []
+        held_rows: list[pa.RecordBatch] = []
         n = 0
+
+        def out() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held_rows).combine_chunks()
+            return rows(table["block"].to_numpy(), table["number"].to_numpy(), table["ids"].combine_chunks())
+
         for b in batches:
-            places = b.column(0)
-            flat = places.flatten()
-            of = np.repeat(np.arange(len(b)), pc.list_value_length(places).to_numpy())
-            held_rows.append((flat.field(0).to_numpy(), flat.field(1).to_numpy(), b.column(1).take(pa.array(of))))
-            n += len(of)
+            held_rows.append(b)
+            n += b.num_rows
             if n >= GATHERED:
-                yield rows(np.concatenate([r[0] for r in held_rows]), np.concatenate([r[1] for r in held_rows]), pa.concat_arrays([r[2] for r in held_rows]))
+                yield out()
                 held_rows, n = [], 0
         if n:
-            yield rows(np.concatenate([r[0] for r in held_rows]), np.concatenate([r[1] for r in held_rows]), pa.concat_arrays([r[2] for r in held_rows]))
-
-    return coded.select("places", "ids").mapInArrow(each, "block long, number int, payload binary")
-
+            yield out()
 
-class Found(dict):
-    """A dict that makes what is missing, once."""
-
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, key):
-        value = self[key] = self.make(key)
-        return value
+    return coded.select("block", "number", "ids").mapInArrow(each, "block long, number int, payload binary")
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -390,61 +503,86 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text
     may have any name.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    places = blocked(own, vocabulary, False).repartition("unit").groupBy("unit").agg(F.collect_list(F.struct("block", "number")).alias("places"))
-    coded = encoded_units(places, vocabulary, "places")
-    digits = 4 if len(vocabulary.pieces) <= 1 << 16 else 8
-    code = ">u2" if digits == 4 else ">i4"
-    packed = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), digits, "0")), ""))
-    both = blocked(own, vocabulary, True).unionByName(gathered(coded.select("places", packed.alias("ids"))))
+    places = blocked(own, vocabulary, False).repartition("unit")
+    # the filter is always true; with it block and number are in use here too, so both sides of the join below read one shuffle of the places
+    units = places.groupBy("unit").agg(F.max("block").alias("last_block"), F.max("number").alias("last_number")).filter("last_block IS NOT NULL AND last_number IS NOT NULL")
+    coded = encoded_units(units.select("unit"), vocabulary)
+    code = ">u2" if len(vocabulary.pieces) <= 1 << 16 else ">i4"
+    both = blocked(own, vocabulary, True).unionByName(gathered(places.join(coded.hint("shuffle_hash"), "unit"), code))
     shared = docs.sparkSession.sparkContext.broadcast({"state": state(vocabulary)})
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks come one after the other, each with its units' ids before its chunks."""
         v = held(shared.value)
         long = v.best if v.model == UNIGRAM else v.merged
-        split, cut = re.compile(v.words).findall, re.compile(v.cuts).findall
-        block, known, units = None, {}, {}
-
-        def of_unit(u: str) -> bytes:
-            k = len(units)
-            if len(u) > LONG:
-                return np.array(long(u), code).tobytes()
-            if k not in known:
-                raise RuntimeError("a block does not hold the units that it named in the first pass")
-            return known.pop(k)
-
+        width = np.dtype(code).itemsize
+
+        def ended(found: list[tuple], tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+            table = pa.concat_tables(tables).combine_chunks()
+            ids = table["doc_id"].combine_chunks()
+            own = Block(table["text"].combine_chunks(), v)
+            n = len(own.units)
+            starts, lengths, done = np.full(n, -1), np.zeros(n, np.int64), 0
+            for numbers, sizes, raw in found:
+                starts[numbers] = done + np.cumsum(sizes) - sizes
+                lengths[numbers] = sizes
+                done += len(raw)
+            flat = [raw for _, _, raw in found]
+            rest = np.flatnonzero(starts < 0)
+            for k, u in zip(rest.tolist(), own.units.take(pa.array(rest)).to_pylist()):
+                if len(u) <= LONG:
+                    raise RuntimeError("a block does not hold the units that it named in the first pass")
+                flat.append(np.array(long(u), np.int32))
+                starts[k], lengths[k] = done, len(flat[-1])
+                done += len(flat[-1])
+            for rows, counts, values in own.encoded(starts, lengths, np.concatenate([np.zeros(0, np.int32), *flat]).astype(np.int32)):
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), lists, pa.array(counts.astype(np.int64))], ["doc_id", "ids", "n_tokens"])
+
+        block, found, tables = None, [], []
         for batch in batches:
-            for name, number, payload in zip(*(c.to_pylist() for c in batch.columns)):
+            for name, number, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if name != block:
-                    block, known, units = name, {}, Found(of_unit)
-                if number < 0:
-                    raw = zlib.decompress(payload)
-                    n = int.from_bytes(raw[:4], "little")
-                    ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u2", n, 4 + 4 * n), dtype=np.int64)]) + 4 + 6 * n
-                    at = ends.tolist()
-                    known.update(zip(np.cumsum(np.frombuffer(raw, "<i4", n, 4)).tolist(), map(raw.__getitem__, map(slice, at, at[1:]))))
+                    if tables:
+                        yield from ended(found, tables)
+                    block, found, tables = name, [], []
+                if number >= 0:
+                    tables.append(pa.ipc.open_stream(payload.as_buffer()).read_all())
                     continue
-                table = pa.ipc.open_stream(payload).read_all()
-                words = Found(lambda w: b"".join(map(units.__getitem__, cut(w))))
-                values = [b"".join(map(words.__getitem__, split(v.normalized(t or "")))) for t in table.column("text").to_pylist()]
-                sizes = [len(x) // (digits // 2) for x in values]
-                ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.frombuffer(b"".join(values), code).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), ids, pa.array(sizes, pa.int64())], ["doc_id", "ids", "n_tokens"])
+                raw = zlib.decompress(payload.as_buffer())
+                n = int.from_bytes(raw[:4], "little")
+                sizes = np.frombuffer(raw, "<u2", n, 4 + 4 * n).astype(np.int64) // width
+                found.append((np.cumsum(np.frombuffer(raw, "<i4", n, 4)), sizes, np.frombuffer(raw, code, -1, 4 + 6 * n)))
+        if tables:
+            yield from ended(found, tables)
 
     return both.repartition("block").sortWithinPartitions("block", "number").mapInArrow(each, "doc_id long, ids array<int>, n_tokens long")
 
 
 def decoded_text(vocabulary: Vocabulary, ids: Column) -> Column:
-    """The text of an array of ids, in built-in functions: the bytes of all pieces joined as hexadecimal digits, then read as UTF-8. Null ids give ''."""
-    table = F.split(F.lit(",".join(x.hex() for x in vocabulary.surfaces())), ",")
-    joined = F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), ""))
-    text = F.replace(F.call_function("make_valid_utf8", joined.cast("string")), F.lit(SPACE), F.lit(" "))
-    plain = F.when(F.startswith(text, F.lit(" ")), F.substring(text, F.lit(2), F.length(text))).otherwise(text) if vocabulary.prefix else text
-    return F.coalesce(plain, F.lit(""))
+    """The text of an array of ids, in built-in functions. Null ids give ''.
+
+    Pieces are joined as texts. Where one of them is a byte that is no character of its own, which has NUL for its text, the
+    bytes of all pieces are joined as hexadecimal digits instead and read as UTF-8.
+    """
+    surfaces = vocabulary.surfaces()
+    digits = F.split(F.lit(",".join(x.hex() for x in surfaces)), ",")
+
+    def own(x: bytes, kind: int) -> str:
+        text = "\0" if kind == BYTE and x[0] > 0x7F else x.decode()
+        return "\0" if "\1" in text else text.replace(SPACE, " ")
+
+    pieces = F.split(F.lit("\1".join(map(own, surfaces, vocabulary.kinds))), "\1")
+    joined = lambda table: F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
+    spelled = F.replace(F.call_function("make_valid_utf8", F.unhex(joined(digits)).cast("string")), F.lit(SPACE), F.lit(" "))
+    text = let(joined(pieces), lambda t: F.when(F.contains(t, F.lit("\0")), spelled).otherwise(t))
+    if vocabulary.prefix:
+        text = let(text, lambda t: F.when(F.startswith(t, F.lit(" ")), F.substring(t, F.lit(2), F.length(t))).otherwise(t))
+    return F.coalesce(text, F.lit(""))
 
 
 def decode(coded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "text") -> DataFrame:
-    """``coded`` with a column of the texts that its ids stand for. Ids outside the vocabulary are an error."""
+    """``coded`` with a column of the texts that its ids stand for. Ids outside the vocabulary add nothing; a column of that name is replaced."""
     return coded.withColumn(text, decoded_text(vocabulary, F.col(ids)))
 
 
