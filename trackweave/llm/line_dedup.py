@@ -1,9 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A run is a bucketed, sorted table of line hashes with the number of documents that hold the line and the largest
-id among them. Documents come in batches. Each batch is merge-joined with all runs, without a shuffle of the
-runs: hashes that no run has are fresh, and all become the batch's own run. When a level has as many runs as the
-fan-out, they are merged into one run of the next level. The totals over the runs say which lines are frequent.
+id among them. Documents come in batches. Each batch is merge-joined with the lines of all runs, without a shuffle of
+the runs: those that no run has are fresh and are the lines of the batch's own run; for the others the run has counts
+only, which are added to the lines of earlier runs and which later batches do not look at. When a level has as many runs
+as the fan-out, they are merged into one run of the next level. The totals say which lines are frequent; then all runs are
+dropped.
 """
 
 from __future__ import annotations
@@ -60,10 +62,10 @@ def line_hashes(docs: DataFrame, batches: int = BATCHES, least_chars: int = LEAS
 
 
 class LineRuns:
-    """Levelled runs; each is a table bucketed and sorted by (h1, h2) with n (documents), top (largest id) and fresh (not in an earlier run)."""
+    """Levelled runs; each is a table bucketed and sorted by (h1, h2) with n (documents), top (largest id) and fresh (a line of this run; else counts for a line of an earlier one)."""
 
     def __init__(self, spark: SparkSession, fan_out: int = FAN_OUT):
-        self.spark, self.fan_out, self.levels = spark, fan_out, []
+        self.spark, self.fan_out, self.levels, self.merged_runs = spark, fan_out, [], []
         self.buckets = shuffle_partitions(spark)
 
     def _run(self, df: DataFrame) -> str:
@@ -75,11 +77,11 @@ class LineRuns:
         return [r for level in self.levels for r in level]
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Take a batch of (h1, h2, doc_id); returns the batch's lines that no earlier batch had."""
-        own = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
+        """Take a batch of (h1, h2, doc_id); returns the batch's lines that no earlier batch had. All rows of an id belong to one batch."""
+        own = lines.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("top"))
         known = F.lit(False)
         for k, name in enumerate(self.runs()):
-            own = own.join(self.spark.table(name).select("h1", "h2", F.lit(True).alias(f"in{k}")), ["h1", "h2"], "left")
+            own = own.join(self.spark.table(name).filter("fresh").select("h1", "h2", F.lit(True).alias(f"in{k}")), ["h1", "h2"], "left")
             known = known | F.coalesce(f"in{k}", F.lit(False))
         run = self._run(own.select("h1", "h2", "n", "top", (~known).alias("fresh")))
         if not self.levels:
@@ -94,12 +96,19 @@ class LineRuns:
         while level < len(self.levels):
             if len(self.levels[level]) >= self.fan_out:
                 run = self._run(self.merged(self.levels[level]))
+                self.merged_runs += self.levels[level]
                 self.levels[level] = []
                 if level + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[level + 1].append(run)
             level += 1
 
+    def drop(self) -> None:
+        """Drop all runs, those that were merged too."""
+        for name in [*self.merged_runs, *self.runs()]:
+            self.spark.sql(f"DROP TABLE {name}")
+        self.levels, self.merged_runs = [], []
+
     def merged(self, names: list[str]) -> DataFrame:
         """Sorted runs merged bucket by bucket: counts add up, the largest id stays."""
 
@@ -121,8 +130,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
 
     A line whose key has at least ``least_chars`` code points and is found in at least ``least_docs``
     documents loses all its occurrences but those in the largest id that holds it. Null or empty text is one
-    empty line. Rows with a null id keep all lines and count nowhere; rows that repeat an id count as
-    documents of their own. An empty table gives no rows; other columns may have any name.
+    empty line. Rows with a null id keep all lines and count nowhere; rows that repeat an id
+    count as one document, and each of them keeps or loses the same lines. An empty table gives no rows; other columns may have any name.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     lines = written(line_hashes(own, batches, least_chars), "lines")
@@ -130,6 +139,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     for k in range(batches):
         runs.add(lines.filter(F.col("batch") == k))
     frequent = written(runs.totals().filter(F.col("n") >= least_docs).select("h1", "h2", "top"), "frequent-lines")
+    runs.drop()
     hash16 = F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))
     drops = lines.join(frequent, ["h1", "h2"]).filter("doc_id < top").select(F.col("doc_id").alias("of"), F.unhex(hash16).alias("h"))
     drops = drops.groupBy("of").agg(F.collect_set("h").alias("drop"))
