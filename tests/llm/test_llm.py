@@ -106,6 +106,13 @@ def test_line_dedup(rows, docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_repeated_ids(spark):
+    line = "a line of more than forty characters that is repeated"
+    table = lambda ids: spark.createDataFrame([(i, f"{k}\n{line}") for k, i in enumerate(ids)], "doc_id long, text string")
+    assert {r.n_dropped for r in line_dedup.dedup_lines(table([1, 1, 1, 1, 2, None])).collect()} == {0}
+    assert sorted((r.doc_id, r.n_dropped) for r in line_dedup.dedup_lines(table([1, 1, 2, 3, 4, 5, 5])).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 0), (5, 0)]
+
+
 def test_line_runs_compact(spark):
     runs = line_dedup.LineRuns(spark)
     batch = lambda pairs: spark.createDataFrame(pairs, "h1 long, h2 long, doc_id long")
@@ -148,6 +155,16 @@ def test_mixing(rows, docs, empty):
     assert mixing.curriculum_mix(empty).count() == 0
 
 
+def test_mixing_reruns_agree(spark):
+    own = [(1 + k % 2, "w " * (k + 1), "a") for k in range(12)] + [(5, "v " * (k + 1), "b") for k in range(12)]
+    runs = []
+    for k in range(2):
+        random.Random(k).shuffle(own)
+        mix = mixing.curriculum_mix(spark.createDataFrame(own, "doc_id long, text string, source string").repartition(k + 1))
+        runs.append(sorted((r.doc_id, r.size, r.taken) for r in mix.collect()))
+    assert runs[0] == runs[1]
+
+
 def test_schedule_inversion(spark):
     for schedule in (((0.0, 6.0), (1.0, 4.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)), ((0.0, 0.0), (1.0, 2.0))):
         whole = mixing.integral(schedule)
@@ -316,6 +333,20 @@ def test_block_pairs_with_equal_lower_halves(spark):
     assert minhash_dedup.block_pairs(left, right, 80) == [(0, 1)] and minhash_dedup.block_pairs(left, right, 81) == []
 
 
+def test_short_texts_that_share_a_shingle(spark):
+    many = [(i, f"the end {i}") for i in range(4000)] + [(5000 + i, f"all of it ends here {i % 3} {i}") for i in range(300)]
+    out = minhash_dedup.near_groups(spark.createDataFrame(many, "doc_id long, text string"), width=2).collect()
+    assert len(out) == 4300 and all(r.kept for r in out)
+
+
+def test_block_pairs_against_sets():
+    rng = random.Random(3)
+    sets = [np.array(sorted(rng.sample(range(60), rng.randrange(30, 55))), np.uint64) for _ in range(60)]
+    rows = [{"rep": i, "root": i % 50, "hashes": s.tobytes()} for i, s in enumerate(sets)]
+    slow = {(i, j) for i in range(30) for j in range(60) if i % 50 != j % 50 and 100 * len(set(sets[i]) & set(sets[j])) >= 60 * len(set(sets[i]) | set(sets[j]))}
+    assert slow and set(minhash_dedup.block_pairs(rows[:30], rows, 60)) == slow
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 140)]

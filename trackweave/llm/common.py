@@ -17,10 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session has none, as in tests, a temporary folder is made and set.
+    Only where the session has none and runs in this process, as in tests, a temporary folder is made and set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="trackweave-")
         atexit.register(shutil.rmtree, path, True)
         path = f"file://{path}"

@@ -82,7 +82,7 @@ def curriculum_mix(docs: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, c
     """One row per document: doc_id, source, size, source_size, target, taken, positions, position; with ``carry`` also carried, a struct of all columns of ``docs``.
 
     Size is the number of words. A source's documents follow each other in a fixed pseudo-random order (ties
-    by id), again and again until the target is met; a copy is taken if its middle word is within the target,
+    by id, then size, then a hash of the text, so that reruns agree), again and again until the target is met; a copy is taken if its middle word is within the target,
     so a source misses its target by at most half a document. ``positions`` has the training position in
     [0, 1] of each copy taken, ``position`` the first (null: not taken), ``taken`` the words of all copies.
 
@@ -91,7 +91,7 @@ def curriculum_mix(docs: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, c
     repeat an id count as documents of their own; an empty table gives no rows. Other columns of ``docs``
     are not looked at and may have any name.
     """
-    columns = [F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), order_key(F.col(doc_id)).alias("key")]
+    columns = [F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), order_key(F.col(doc_id)).alias("key"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("tie")]
     rows = written(docs.select(*columns), "mix-sizes")
     sources = small(written(targets(rows, schedules, cap), "mix-targets"), BROADCAST_SOURCES)
 
@@ -102,11 +102,11 @@ def curriculum_mix(docs: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, c
     dealt = deal(rows)
     before = W.partitionBy("place").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = dealt.groupBy("place", "bucket").agg(F.sum("size").alias("in_bucket")).select("place", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("start"))
-    order, more = ["key", "doc_id"], []
+    more = []
     if carry:
-        dealt = deal(docs.select(*columns, F.xxhash64(text).alias("tie"), F.struct(*[F.col(c) for c in docs.columns]).alias("carried")))
-        order, more = [*order, "tie"], ["carried"]
-    within = W.partitionBy("place", "bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        dealt = deal(docs.select(*columns, F.struct(*[F.col(c) for c in docs.columns]).alias("carried")))
+        more = ["carried"]
+    within = W.partitionBy("place", "bucket").orderBy("key", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
     placed = dealt.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["place", "bucket"]).withColumn("middle", F.col("start") + F.col("inner") + F.col("size") / 2)
     copies = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.ceil((F.col("target") - F.col("middle")) / F.col("source_size")))).otherwise(0).cast("int")
     share = lambda k: (F.col("middle") + k * F.col("source_size")) / F.col("target")
@@ -139,7 +139,7 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) AS key
+         CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) AS key, md5(coalesce(text, '')) AS tie
   FROM documents
 ), totals AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank
@@ -157,7 +157,7 @@ WITH rows AS (
   SELECT source, source_size, rank % 3 AS class, least(weight * level, CAST(most AS DOUBLE)) AS target FROM leveled, water
 ), placed AS (
   SELECT r.doc_id, r.size, t.source_size, t.target, t.class,
-         CAST(coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.key, r.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) + r.size / 2.0::DOUBLE AS middle
+         CAST(coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.key, r.doc_id, r.size, r.tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) + r.size / 2.0::DOUBLE AS middle
   FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source
 ), taken AS (
   SELECT *, CASE WHEN size > 0 THEN greatest(0, CAST(ceil((target - middle) / source_size) AS BIGINT)) ELSE 0 END AS n, middle / target AS share FROM placed
