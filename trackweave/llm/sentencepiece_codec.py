@@ -33,7 +33,7 @@ from .common import documents
 #: The vocabulary of the queries.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: UTF-8 bytes of the texts of a block and of a chunk of it, and what a row counts besides its text.
-BLOCK_BYTES, CHUNK_BYTES, ROW_BYTES = 16 << 20, 1 << 20, 16
+BLOCK_BYTES, CHUNK_BYTES, ROW_BYTES = 20 << 20, 1 << 20, 16
 #: Units longer than this (runs of one kind of character) are encoded in their block. Places of units that a task gathers before it sends them.
 LONG, GATHERED = 48, 1 << 19
 #: Words whose ids are put together at once (or one text).
@@ -268,7 +268,7 @@ def blocked(docs: DataFrame, vocabulary: Vocabulary, payload: bool) -> DataFrame
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK_BYTES, "right")))
             sink = pa.BufferOutputStream()
             table = pa.table({"doc_id": ids.slice(a, b - a), "text": texts.slice(a, b - a)})
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))) as out:
                 out.write_table(table)
             yield sink.getvalue().to_pybytes()
             a = b
