@@ -150,25 +150,25 @@ def level(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(100.01 / percent)).cast("int")
 
 
-def blocks(members: DataFrame) -> DataFrame:
-    """Rows (key, level, rep, root, n, hashes) of a key and level in blocks of about BLOCK shingles and BLOCK_SETS sets: key, level, n_blocks, block, sets."""
-    counts = members.groupBy("key", "level").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("n_blocks"))
-    block = F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int").alias("block")
-    return members.join(counts, ["key", "level"]).select("key", "level", "n_blocks", block, "rep", "root", "hashes").groupBy("key", "level", "n_blocks", "block").agg(F.collect_list(F.struct("rep", "root", "hashes")).alias("sets"))
+def rest_pairs(rest: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that are similar: of each key's members (key, rep, root, n, main) outside its main component, with its members of other components.
 
-
-def rest_pairs(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that are similar: of each key's members (rep, root, n, hashes) outside its main component, with its members of other components.
-
-    Blocks of sets meet if their sizes allow it. Each pair of blocks is a row of its own key, so that those of one
-    bucket are spread over the tasks.
+    Members of a key and size class are dealt to blocks of about BLOCK shingles and BLOCK_SETS sets, and blocks meet if
+    their sizes allow it. Members that can meet no one outside the main component are left out before ``hashes`` (doc_id,
+    hashes) are looked up. Each pair of blocks is a row of its own key, so that those of one bucket are spread over the tasks.
     """
     sized = rest.withColumn("level", level(F.col("n"), percent))
-    every = blocks(sized)
-    of = every.groupBy("key", F.col("level").alias("with_level")).agg(F.max("n_blocks").alias("with_blocks"))
-    other = blocks(sized.filter("root <> main")).select("key", F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)).alias("with_level"), F.col("sets").alias("left"))
-    other = other.join(of, ["key", "with_level"]).select("key", F.col("with_level").alias("level"), F.explode(F.sequence(F.lit(0), F.col("with_blocks") - 1)).alias("block"), "left")
-    both = other.join(every.select("key", "level", "block", F.col("sets").alias("right")), ["key", "level", "block"])
+    met = sized.filter("root <> main").select("key", F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)).alias("level")).distinct()
+    sized = sized.join(met, ["key", "level"], "left_semi")
+    n_blocks = F.ceil(F.greatest(F.sum("n") / BLOCK, F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("n_blocks")
+    counts = written(sized.groupBy("key", "level").agg(n_blocks), "blocks")
+    dealt = sized.join(counts, ["key", "level"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+    member = F.struct("rep", "root", "hashes")
+    every = dealt.join(hashes, F.col("rep") == F.col("doc_id")).groupBy("key", "level", "block").agg(F.collect_list(member).alias("right"), F.collect_list(F.when(F.col("root") != F.col("main"), member)).alias("left"))
+    every = written(every, "blocks-of-sets")
+    other = every.filter(F.size("left") > 0).select("key", F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)).alias("level"), "left").join(counts, ["key", "level"])
+    other = other.select("key", "level", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "left")
+    both = other.join(every.select("key", "level", "block", "right"), ["key", "level", "block"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -226,11 +226,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     # the rest: members of a bucket in different components
     rooted = members.join(found, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
     rooted = written(rooted, "rooted")
-    counts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    largest = counts.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
+    counts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("rep")).alias("h"), F.sum(F.xxhash64(F.lit(1), "rep").cast("decimal(38,0)")).alias("g"))
+    largest = counts.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts"), F.bit_xor("h").alias("h"), F.sum("g").alias("g"), F.sum("c").alias("c")).filter("parts > 1")
+    largest = largest.groupBy("h", "g", "c").agg(F.min(F.struct("key", "main")).alias("one")).select("one.*")  # buckets of the same members are compared once
     rest = written(rooted.join(written(largest, "largest"), "key"), "rest")
     hashes = written(packed(texts.join(rest.select(F.col("rep").alias("of")).distinct(), F.col("doc_id") == F.col("of"), "left_semi").select("doc_id", "text"), width), "hashes")
-    cross = rest_pairs(rest.join(hashes, F.col("rep") == F.col("doc_id")), percent)
+    cross = rest_pairs(rest, hashes, percent)
     more = written(cross, "more-links")
     if not more.isEmpty():
         found = written(roots(links.union(more).toDF("u", "v")), "roots")
