@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.llm import exact_dedup, minhash_dedup, mixing, quality_classifier, sentencepiece_codec
-from trackweave.llm.common import held_out, new_folder, written
+from trackweave.llm.common import held_out, new_folder
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,24 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_classifier.scored(docs, data).filter("predicted = 1").select(*docs.columns)
 
 
+#: Numbered copies of the documents that earlier stages wrote.
+_copies: list[str] = []
+
+
+def tidied(spark: SparkSession) -> None:
+    """Remove the numbered copies of earlier stages. A stage's result must be written before the next stage begins, as run() does."""
+    while _copies:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_copies.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs``, written, with a number for each row (row_) and a hash of its values (tie_), as ids may repeat or be null."""
-    return written(docs.withColumns({"row_": F.monotonically_increasing_id(), "tie_": F.xxhash64(*docs.columns)}), "numbered")
+    spark, path = docs.sparkSession, new_folder(docs.sparkSession, "numbered")
+    out = docs.withColumns({"row_": F.monotonically_increasing_id(), "tie_": F.xxhash64(*docs.columns)})
+    out.write.parquet(path)
+    _copies.append(path)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def picked(rows: DataFrame, best: DataFrame) -> DataFrame:
@@ -32,6 +47,7 @@ def picked(rows: DataFrame, best: DataFrame) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the rows of equal texts the one with the largest id stays, and one only: nulls are least, equal ids are picked from by a hash."""
+    tidied(spark)
     rows = numbered(docs)
     groups = exact_dedup.exact_groups(rows, "row_").select(F.col("doc_id").alias("of"), "keep_id")
     members = rows.select("doc_id", "tie_", "row_").join(groups, F.col("row_") == F.col("of"))
@@ -43,6 +59,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Each row is a document of its own, also if its id repeats or is null; null is the last to stay.
     """
+    tidied(spark)
     rows = numbered(docs)
     groups = minhash_dedup.near_groups(rows, "row_").select(F.col("doc_id").alias("of"), "component_id")
     members = rows.select("doc_id", "tie_", "row_").join(groups, F.col("row_") == F.col("of"))
@@ -51,6 +68,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the curriculum takes them, in training order: one row per copy, none for those that the mix leaves out."""
+    tidied(spark)
     copies = mixing.curriculum_mix(docs, carry=True).select("carried.*", F.explode("positions").alias("position_"))
     return copies.repartitionByRange("position_", "doc_id").sortWithinPartitions("position_", "doc_id").drop("position_")
 
