@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.llm import exact_dedup, minhash_dedup, mixing, quality_classifier, sentencepiece_codec
-from trackweave.llm.common import held_out, new_folder
+from trackweave.llm.common import held_out, new_folder, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,9 +74,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of each row and the SHA-256 of the text that they decode to: doc_id, ids, n_tokens, decoded_sha256."""
+    """SentencePiece ids of each row and the SHA-256 of the text that they decode to: doc_id, ids, n_tokens, decoded_sha256.
+
+    The ids are written before they are decoded: the tables of surfaces would else be in every plan of the encoding that
+    the driver describes anew as its shuffles end.
+    """
     vocabulary = sentencepiece_codec.Vocabulary.load(sentencepiece_codec.MODEL)
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, vocabulary), vocabulary)
+    coded = sentencepiece_codec.decode(written(sentencepiece_codec.encode(docs, vocabulary), "ids"), vocabulary)
     return coded.select("doc_id", "ids", "n_tokens", F.sha2(F.col("text"), 256).alias("decoded_sha256"))
 
 
