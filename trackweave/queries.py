@@ -18,6 +18,7 @@ from .functions import text as T
 from .operators import candidates as C
 from .operators import mappers as M
 from .operators import merge as G
+from .operators import releases as L
 from .operators import scoring as S
 from .operators import select_best as B
 from .operators import store as K
@@ -428,7 +429,7 @@ _BLACKLIST = [("brand#11", "cold"), ("brand#23", "bolt"), ("brand#11", "widget")
 def blacklist_antijoin(spark, sf_dir):
     listed = spark.createDataFrame(_BLACKLIST, "artist string, word string")  # a fixed list, so it is small
     part = table(spark, sf_dir, "part")
-    return part.join(F.broadcast(listed), (F.lower("p_brand") == F.col("artist")) & F.contains(F.lower("p_name"), "word"), "left_anti").select("p_partkey")
+    return L.not_listed(part, listed, F.lower("p_brand"), F.lower("p_name")).select("p_partkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
@@ -497,3 +498,46 @@ def album_rows_from_tracks(spark, sf_dir):
     own = tracks(spark, sf_dir).withColumn("collection_id", F.xxhash64("track_name")).withColumn("collection_name", F.col("track_name"))
     rows = M.album_of_track(own)
     return own.join(rows.select("collection_id", F.col("collection_name").alias("album")), "collection_id").groupBy("album").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, o_totalprice FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey = 7")
+def album_tracks(spark, sf_dir):
+    albums = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
+    return R.tracks_of(table(spark, sf_dir, "lineitem"), "l_orderkey", 7, albums).select("l_orderkey", "l_linenumber", "l_partkey", "o_totalprice")
+
+
+@query("SELECT doc_id, md5(nullif(substr(trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 1, 1000), '')) AS short FROM documents")
+def limited_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.limited(F.col("text")).cast("binary")).alias("short"))
+
+
+@query("SELECT l_orderkey, CAST(count(*) AS INTEGER) AS n_tracks FROM lineitem GROUP BY l_orderkey")
+def media_track_total(spark, sf_dir):
+    media = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.collect_list("l_partkey").alias("tracks"))
+    return media.groupBy("l_orderkey").agg(F.collect_list(F.struct("tracks")).alias("media")).select("l_orderkey", L.track_total(F.col("media")).alias("n_tracks"))
+
+
+@query("""WITH t AS (SELECT p_type, p_partkey, lower(p_name) AS title, p_size % 3 = 0 AS other, CASE length(p_type) % 3 WHEN 0 THEN 'widget' WHEN 1 THEN 'big cold bolt' ELSE 'zzz' END AS wanted FROM part),
+          r AS (SELECT *, CASE WHEN (contains(title, wanted) OR contains(wanted, title)) AND NOT other THEN 0 WHEN contains(title, wanted) OR contains(wanted, title) THEN 1 ELSE 2 END AS rank FROM t),
+          n AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY rank, p_partkey) AS n FROM r)
+          SELECT p_type, p_partkey, rank FROM n WHERE n = 1""")
+def release_track_pick(spark, sf_dir):
+    k = F.length("p_type") % 3
+    wanted = F.when(k == 0, "widget").when(k == 1, "big cold bolt").otherwise("zzz")
+    return L.release_track(table(spark, sf_dir, "part"), "p_type", wanted, F.lower("p_name"), F.col("p_size") % 3 == 0, ["p_partkey"]).select("p_type", "p_partkey", "rank")
+
+
+@query("SELECT c_custkey, CAST(to_json({c_custkey: c_custkey, c_name: c_name, none: CAST(NULL AS VARCHAR)}) AS VARCHAR) AS json FROM customer")
+def json_export(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.lit(None).cast("string").alias("none"), F.col("c_acctbal").alias("_balance"))
+    return L.exported(rows, "c_custkey")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'S' || p_partkey WHEN p_partkey % 2 = 0 THEN 'M' || p_partkey WHEN p_partkey % 5 = 0 THEN '' ELSE 'T' || p_partkey END AS isrc,
+                 CASE WHEN p_size % 4 = 0 THEN 0.7 ELSE 0.55 END::DOUBLE AS least FROM part""")
+def isrc_trust(spark, sf_dir):
+    k = F.col("p_partkey")
+    code = lambda letter: F.concat(F.lit(letter), k.cast("string"))
+    isrc = L.trusted_isrc(F.when(k % 3 == 0, code("S")), F.when(k % 2 == 0, code("M")).otherwise(""), F.when(k % 5 != 0, code("T")))
+    confidence = F.when(F.col("p_size") % 4 == 0, "LOW").otherwise("HIGH")
+    return table(spark, sf_dir, "part").select("p_partkey", isrc.alias("isrc"), L.least_score(confidence).alias("least"))

@@ -47,6 +47,12 @@ def with_children(parents: DataFrame, children: DataFrame, parent_key: str, chil
     return joined.withColumn(name, F.coalesce(F.col(name), F.array().cast(joined.schema[name].dataType)))
 
 
+def tracks_of(tracks: DataFrame, key: str, value, albums: DataFrame | None = None) -> DataFrame:
+    """Track rows of one album, each with its album's columns if ``albums`` is given (nulls where it is not known)."""
+    own = by_id(tracks, key, value)
+    return own if albums is None else own.join(by_id(albums, key, value), key, "left")
+
+
 def read_through(local: DataFrame, remote: DataFrame, key: str) -> DataFrame:
     """Local rows, and remote rows of the keys that are not known locally."""
     return local.unionByName(remote.join(local.select(key).distinct(), key, "left_anti"))
