@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, sharding, token_packing
+from . import bpe_codec, exact_dedup, hard_negatives, language_id, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, sharding, token_packing, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -19,10 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.op8_mixing,
     "op9_sharding": sharding.op9_sharding,
     "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_bpe": bpe_codec.op12_bpe,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
