@@ -50,10 +50,11 @@ def test_columns_agree_with_functions(spark):
         assert abs(r.d - D.text_distance(r.a, r.b)) < 1e-12 and abs(r.s - D.title_likeness(r.a, r.b)) < 1e-12
 
 
-def test_queries_compare_all_names(spark, tmp_path):
+def test_queries_compare_like_names(spark, tmp_path):
     from trackweave import queries
 
     names = ["cold bolt", "hot widget", "red bolt"]
+    like = {(a, b) for a in names for b in names} - {("cold bolt", "hot widget"), ("hot widget", "cold bolt"), ("hot widget", "red bolt"), ("red bolt", "hot widget")}
     spark.createDataFrame([(n,) for n in names], "p_name string").write.parquet(str(tmp_path / "part.parquet"))
     for f in (queries.indel_distance, queries.title_similarity):
-        assert sorted((r.a, r.b) for r in f(spark, str(tmp_path)).collect()) == [(a, b) for a in names for b in names]
+        assert sorted((r.a, r.b) for r in f(spark, str(tmp_path)).collect()) == sorted(like)

@@ -7,10 +7,15 @@ needs no nested loop over queries and catalog.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import written
+from .strategies import first_stage_rows
+
 GRAM = 3
 #: The reference's limit of candidates of a query, for callers that ask for it.
 MOST = 3000
@@ -32,28 +37,51 @@ def field_hits(queries: DataFrame, words: str, catalog: DataFrame, field: str, r
     return asked.join(found, "word").select("query_id", "value").distinct().join(rows, "value").select("query_id", "row_id")
 
 
+def value_hits(queries: DataFrame, words: str, catalog: DataFrame, field: str) -> DataFrame:
+    """(query_id, value, n): lower-case field values that hold one of the query's words, and how many catalog rows have them."""
+    asked = queries.select("query_id", F.explode(words).alias("word")).select("query_id", F.lower("word").alias("word")).filter(F.length("word") >= GRAM)
+    found = asked.select("word").distinct().join(trigrams(catalog, field), F.substring("word", 1, GRAM) == F.col("gram")).filter(F.contains("value", "word")).select("word", "value")
+    counts = catalog.groupBy(F.lower(F.col(field)).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return asked.join(found, "word").select("query_id", "value").distinct().join(counts, "value").select("query_id", "value", "n")
+
+
 def tiered(queries: DataFrame, catalog: DataFrame, fields: dict[str, str], row_id: str, most: int | None = None) -> DataFrame:
     """(query_id, row_id, tier): all rows of the first tier that has any, or the first ``most`` of them by id if that is given.
 
     ``fields`` maps an array column of words in ``queries`` (title, artist, album in this order) to a catalog column.
     Tier 1: every field that has words is hit; tier 2: title and artist, if album words were asked too; tier 3: any.
+    Rows of tiers 1 and 2 are looked for among the hits of the request's rarest field that both need; only requests
+    that have none are asked again for the hits of any field.
     """
     names = list(fields)
-    hits = None
-    for k, (words, column) in enumerate(fields.items()):
-        part = field_hits(queries, words, catalog, column, row_id).select("query_id", "row_id", F.lit(k).alias("field"))
-        hits = part if hits is None else hits.unionByName(part)
-    asked = queries.select("query_id", *[(F.size(F.filter(n, lambda w: F.length(w) >= GRAM)) > 0).alias(f"asks{k}") for k, n in enumerate(names)])
-    per_row = hits.groupBy("query_id", "row_id").agg(*[F.max((F.col("field") == k).cast("int")).alias(f"hit{k}") for k in range(len(names))]).join(asked, "query_id")
-    every = F.lit(True)
-    for k in range(len(names)):
-        every = every & (~F.col(f"asks{k}") | (F.col(f"hit{k}") == 1))
-    relaxed = F.lit(False)
-    if len(names) == 3:
-        relaxed = F.col("asks0") & F.col("asks1") & F.col("asks2") & (F.col("hit0") == 1) & (F.col("hit1") == 1)
-    ranked = per_row.withColumn("tier", F.when(every, 1).when(relaxed, 2).otherwise(3))
-    by_query = W.partitionBy("query_id")
-    best = ranked.withColumn("best", F.min("tier").over(by_query)).filter("tier = best")
+    hits = [written(value_hits(queries, words, catalog, column).withColumn("field", F.lit(k)), f"hits-{k}") for k, (words, column) in enumerate(fields.items())]
+    every_hit = reduce(DataFrame.unionByName, hits)
+    asks = [F.size(F.filter(n, lambda w: F.length(w) >= GRAM)) > 0 for n in names]
+    needs = F.array(*[F.when(asks[k] & (F.lit(k < 2) | ~reduce(lambda a, b: a & b, asks)), F.lit(k)) for k in range(len(names))])
+    asked = queries.select("query_id", *names, *[a.alias(f"asks{k}") for k, a in enumerate(asks)], F.filter(needs, lambda k: k.isNotNull()).alias("needs"))
+    rarest = every_hit.groupBy("query_id", "field").agg(F.sum("n").alias("rows"))
+    rarest = asked.select("query_id", F.explode("needs").alias("field")).join(rarest, ["query_id", "field"], "left")
+    rarest = rarest.groupBy("query_id").agg(F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "field")).alias("r")).select("query_id", F.col("r.field").alias("field"))
+    values = [F.lower(F.col(c)).alias(f"value{k}") for k, c in enumerate(fields.values())]
+    rows = catalog.select(F.col(row_id).alias("row_id"), *values)
+    holds = lambda k: F.exists(names[k], lambda w: (F.length(w) >= GRAM) & F.contains(f"value{k}", F.lower(w)))
+
+    def strict(left: DataFrame) -> DataFrame:
+        own = asked.join(left, "query_id", "left_semi").join(rarest, "query_id")
+        found = [own.filter(F.col("field") == k).join(hits[k].select("query_id", F.col("value").alias(f"value{k}")), "query_id").join(rows, f"value{k}") for k in range(len(names))]
+        found = reduce(DataFrame.unionByName, found)
+        hit = [F.coalesce(holds(k), F.lit(False)) for k in range(len(names))]
+        every = reduce(lambda a, b: a & b, [~F.col(f"asks{k}") | h for k, h in enumerate(hit)])
+        relaxed = F.col("asks0") & F.col("asks1") & F.col("asks2") & hit[0] & hit[1] if len(names) == 3 else F.lit(False)
+        tier = F.when(every, 1).when(relaxed, 2)
+        ranked = found.select("query_id", "row_id", tier.alias("tier")).filter("tier IS NOT NULL")
+        return ranked.withColumn("best", F.min("tier").over(W.partitionBy("query_id"))).filter("tier = best").drop("best")
+
+    def loose(left: DataFrame) -> DataFrame:
+        open_hits = [h.join(left, "query_id", "left_semi").select("query_id", F.col("value").alias(f"value{k}")).join(rows.select("row_id", f"value{k}"), f"value{k}").select("query_id", "row_id") for k, h in enumerate(hits)]
+        return reduce(DataFrame.unionByName, open_hits).distinct().withColumn("tier", F.lit(3))
+
+    best = first_stage_rows(written(queries.select("query_id"), "asked"), [strict, loose], "query_id")
     if most is not None:
-        best = best.withColumn("n", F.row_number().over(by_query.orderBy("row_id"))).filter(F.col("n") <= most)
+        best = best.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("row_id"))).filter(F.col("n") <= most)
     return best.select("query_id", "row_id", "tier")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -36,11 +38,13 @@ def merge_records(base: DataFrame, update: DataFrame, key: str, overwrite: Itera
 
 
 def cascade(stages: list[DataFrame], key: str) -> DataFrame:
-    """Rows of the first stage that resolves a key: each stage only counts where no earlier one did."""
-    out = stages[0]
-    for stage in stages[1:]:
-        out = out.unionByName(stage.join(out.select(key), key, "left_anti"))
-    return out
+    """Rows of the first stage that resolves a key: each stage only counts where no earlier one did. Rows of a null key all stay.
+
+    All stages are shuffled once, by the key; the least number of a stage decides.
+    """
+    numbered = [stage.withColumn("stage_", F.lit(n)) for n, stage in enumerate(stages)]
+    first = reduce(DataFrame.unionByName, numbered).withColumn("first_", F.min("stage_").over(W.partitionBy(key)))
+    return first.filter(F.col(key).isNull() | (F.col("stage_") == F.col("first_"))).drop("stage_", "first_")
 
 
 def valid_year(text: Column) -> Column:

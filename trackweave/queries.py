@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import similarity_sql as Q
 from .functions import distance as D
 from .functions import edition as E
 from .functions import text as T
@@ -213,25 +214,47 @@ def short_string_distance(spark, sf_dir):
     return pairs.select("a", "b", F.round(D.basic_dist(F.col("a"), F.col("b")), 6).alias("distance"))
 
 
-@query()
-def indel_distance(spark, sf_dir):
+_NAMES = "SELECT DISTINCT p_name FROM part"
+#: Pairs of names that share a word or the first letter of a word.
+_NAME_PAIRS = f"""SELECT DISTINCT x.p_name AS a, y.p_name AS b FROM (SELECT p_name, unnest(list_concat(string_split(p_name, ' '), [w[1] for w in string_split(p_name, ' ')])) AS k FROM ({_NAMES})) x
+                  JOIN (SELECT p_name, unnest(list_concat(string_split(p_name, ' '), [w[1] for w in string_split(p_name, ' ')])) AS k FROM ({_NAMES})) y ON x.k = y.k"""
+
+
+def _like_names(spark, sf_dir) -> DataFrame:
+    """Pairs of distinct part names that share a word or the first letter of a word."""
+    words = F.split("p_name", " ")
     names = table(spark, sf_dir, "part").select("p_name").distinct()
-    pairs = names.select(F.col("p_name").alias("a")).crossJoin(names.select(F.col("p_name").alias("b")))
-    return pairs.select("a", "b", F.round(D.basic_dist(F.col("a"), F.col("b")), 6).alias("distance"))
+    keys = names.select("p_name", F.explode(F.array_distinct(F.concat(words, F.transform(words, lambda w: F.substring(w, 1, 1))))).alias("k"))
+    return keys.select(F.col("p_name").alias("a"), "k").join(keys.select(F.col("p_name").alias("b"), "k"), "k").select("a", "b").distinct()
 
 
-@query()
+_PLAIN = "SELECT a, b, replace(a, ' ', '') AS x, replace(b, ' ', '') AS y FROM pairs"
+
+
+@query(f"""WITH RECURSIVE pairs AS MATERIALIZED ({_NAME_PAIRS}), {Q.common(f"SELECT x AS p, y AS q FROM ({_PLAIN})")}
+           SELECT a, b, round({Q.basic("x", "y", "n")}, 6) AS distance FROM ({_PLAIN}) JOIN lcs ON p = x AND q = y""")
+def indel_distance(spark, sf_dir):
+    return _like_names(spark, sf_dir).select("a", "b", F.round(D.basic_dist(F.col("a"), F.col("b")), 6).alias("distance"))
+
+
+@query(f"""WITH RECURSIVE pairs AS MATERIALIZED ({_NAME_PAIRS}), {Q.likeness("SELECT a, b FROM pairs", f"SELECT x AS p, y AS q FROM ({_PLAIN})")}
+           SELECT a, b, round(sim, 6) AS similarity, round({Q.basic("x", "y", "n")}, 6) AS distance FROM ({_PLAIN}) JOIN lcs ON p = x AND q = y JOIN likeness USING (a, b)""")
 def title_similarity(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
-    pairs = names.select(F.col("p_name").alias("a")).crossJoin(names.select(F.col("p_name").alias("b")))
+    pairs = _like_names(spark, sf_dir)
     return pairs.select("a", "b", F.round(D.title_similarity(F.col("a"), F.col("b")), 6).alias("similarity"), F.round(D.string_dist(F.col("a"), F.col("b")), 6).alias("distance"))
 
 
-@query()
+@query(f"""WITH RECURSIVE albums AS (
+             SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_name || ' remix' ELSE p_name END AS a, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' (deluxe edition)' ELSE ' - remix' END AS b FROM part
+           ), {Q.likeness("SELECT a, b FROM albums")},
+           words AS (SELECT *, list_distinct(regexp_extract_all(a, 'remix|deluxe|edition')) AS x, list_distinct(regexp_extract_all(b, 'remix|deluxe|edition')) AS y FROM albums JOIN likeness USING (a, b)),
+           apart AS (SELECT *, len(list_intersect(x, y)) AS shared, len(list_distinct(list_concat(x, y))) - len(list_intersect(x, y)) AS apart FROM words)
+           SELECT p_partkey, round(CASE WHEN sim = 0 OR apart = 0 THEN sim ELSE greatest(0, sim - (0.18 * apart - 0.04 * shared)) END, 6) AS similarity FROM apart""")
 def album_edition_similarity(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " (Deluxe Edition)").otherwise(" - Remix")).alias("album"))
-    known = S.distances(part, {"base": ("p_name", "album")}, D.title_similarity)
-    return known.select("p_partkey", F.round(S.edition_likeness(F.col("base"), T.edition_tokens(F.col("p_name")), T.edition_tokens(F.col("album"))), 6).alias("similarity"))
+    hint = F.when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit(" remix"))).otherwise(F.col("p_name"))
+    part = table(spark, sf_dir, "part").select("p_partkey", hint.alias("hint"), F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " (deluxe edition)").otherwise(" - remix")).alias("album"))
+    known = S.distances(part, {"base": ("hint", "album")}, D.title_similarity)
+    return known.select("p_partkey", F.round(S.edition_likeness(F.col("base"), T.edition_tokens(F.col("hint")), T.edition_tokens(F.col("album"))), 6).alias("similarity"))
 
 
 @query("""WITH w AS (SELECT p_partkey, p_brand, p_name, list_distinct(string_split(lower(p_name), ' ')) AS x, list_distinct(string_split(lower(p_type), ' ')) AS y FROM part),
