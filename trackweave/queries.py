@@ -104,13 +104,25 @@ _ASKED = [(1, "widget", "brand#1", "promo"), (2, "cold", "brand#99", "promo"), (
 @query(f"""WITH asked(q, title, artist, album) AS (VALUES {", ".join(map(str, _ASKED))}),
            hits AS (SELECT q, p_partkey, contains(lower(p_name), title) AS t, contains(lower(p_brand), artist) AS a, contains(lower(p_type), album) AS c FROM asked CROSS JOIN part),
            tiers AS (SELECT q, p_partkey, CASE WHEN t AND a AND c THEN 1 WHEN t AND a THEN 2 WHEN t OR a OR c THEN 3 END AS tier FROM hits WHERE t OR a OR c),
-           best AS (SELECT *, min(tier) OVER (PARTITION BY q) AS b FROM tiers),
-           numbered AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY p_partkey) AS n FROM best WHERE tier = b)
-           SELECT CAST(q AS BIGINT) AS query_id, tier, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS key_sum FROM numbered WHERE n <= 3000 GROUP BY q, tier""")
+           best AS (SELECT *, min(tier) OVER (PARTITION BY q) AS b FROM tiers)
+           SELECT CAST(q AS BIGINT) AS query_id, tier, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS key_sum FROM best WHERE tier = b GROUP BY q, tier""")
 def tiered_candidates(spark, sf_dir):
+    return _tiers(spark, sf_dir).groupBy("query_id", "tier").agg(F.count(F.lit(1)).alias("n"), F.sum("row_id").alias("key_sum"))
+
+
+def _tiers(spark, sf_dir, most: int | None = None) -> DataFrame:
     asked = spark.createDataFrame([(q, [t], [a], [c]) for q, t, a, c in _ASKED], "query_id long, t array<string>, a array<string>, c array<string>")
-    hits = C.tiered(asked, tracks(spark, sf_dir), {"t": "track_name", "a": "artist_name", "c": "collection_name"}, "track_id", C.MOST)  # the SQL's n <= 3000
-    return hits.groupBy("query_id", "tier").agg(F.count(F.lit(1)).alias("n"), F.sum("row_id").alias("key_sum"))
+    return C.tiered(asked, tracks(spark, sf_dir), {"t": "track_name", "a": "artist_name", "c": "collection_name"}, "track_id", most)
+
+
+@query(f"""WITH asked(q, title, artist, album) AS (VALUES {", ".join(map(str, _ASKED))}),
+           hits AS (SELECT q, p_partkey, contains(lower(p_name), title) AS t, contains(lower(p_brand), artist) AS a, contains(lower(p_type), album) AS c FROM asked CROSS JOIN part),
+           tiers AS (SELECT q, p_partkey, CASE WHEN t AND a AND c THEN 1 WHEN t AND a THEN 2 WHEN t OR a OR c THEN 3 END AS tier FROM hits WHERE t OR a OR c),
+           best AS (SELECT *, min(tier) OVER (PARTITION BY q) AS b FROM tiers)
+           SELECT CAST(q AS BIGINT) AS query_id, p_partkey AS row_id FROM best WHERE tier = b QUALIFY row_number() OVER (PARTITION BY q ORDER BY p_partkey) <= 10""")
+def first_candidates(spark, sf_dir):
+    """The first ten candidates of each request by id, as a report."""
+    return _tiers(spark, sf_dir, 10).select("query_id", "row_id")
 
 
 @query("SELECT o_orderkey, CAST(coalesce(n, 0) AS BIGINT) AS real_count FROM orders LEFT JOIN (SELECT l_orderkey, count(l_partkey) AS n FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey")
@@ -266,7 +278,11 @@ def album_jaccard_pick(spark, sf_dir):
     return B.first_of(scored, ["p_brand"], [F.desc("score"), F.col("p_partkey")]).select("p_brand", "p_partkey", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE asked AS (SELECT *, string_split(p_name, ' ')[1] AS word FROM part),
+           rows AS MATERIALIZED (SELECT a.p_partkey AS query_id, b.p_partkey AS track_id, lower(a.p_name) AS title, lower(a.p_brand) AS artist, lower(a.p_type) AS hint, CAST(round(a.p_retailprice * 1000) AS INTEGER) AS ms,
+                           b.p_name AS name, b.p_brand AS by_name, b.p_type AS album, CAST(round(b.p_retailprice * 1000) AS INTEGER) AS cand_ms, 'Album' AS kind
+                    FROM asked a JOIN asked b ON a.word = b.word AND a.p_brand = b.p_brand WHERE a.p_partkey % 20 = 0), {Q.common(Q.letter_pairs("rows"))}, {Q.track_scores("rows", 0.5)}
+           SELECT query_id, track_id, round(base, 6) AS score FROM scored WHERE base IS NOT NULL""")
 def track_match_score(spark, sf_dir):
     part = tracks(spark, sf_dir)
     asked = part.filter("track_id % 20 = 0").select(F.col("track_id").alias("query_id"), F.lower("track_name").alias("title"), F.lower("artist_name").alias("artist"), F.lower("collection_name").alias("album_hint"), F.col("track_time_millis").alias("duration_ms"), F.lit("").alias("isrc"), F.substring_index("track_name", " ", 1).alias("first"))
@@ -276,12 +292,32 @@ def track_match_score(spark, sf_dir):
 
 
 def _requests(spark, sf_dir) -> DataFrame:
-    """One request for each distinct name and brand."""
-    part = table(spark, sf_dir, "part").groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("query_id"), F.min("p_type").alias("album_hint"))
-    return part.select("query_id", F.concat("p_name", F.lit(" ")).alias("title"), F.col("p_brand").alias("artist"), "album_hint", F.lit(None).cast("int").alias("duration_ms"), F.lit("").alias("isrc"))
+    """One request for each distinct name and brand; some without a hint, some with a duration or a code, some with a name that no track has."""
+    part = table(spark, sf_dir, "part").groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("query_id"), F.min("p_type").alias("album_hint"), F.min("p_size").alias("size"))
+    k = F.col("query_id")
+    title = F.when(k % 7 == 0, F.concat(F.lit("zzz "), F.get(F.split("p_name", " "), F.lit(1)))).otherwise(F.col("p_name"))
+    return part.select(
+        "query_id", F.concat(title, F.lit(" ")).alias("title"), F.col("p_brand").alias("artist"), F.when(k % 4 != 0, F.col("album_hint")).otherwise("").alias("album_hint"),
+        F.when(k % 3 == 0, F.col("size") * 40_000).cast("int").alias("duration_ms"), F.when(k % 5 == 0, F.lower(title)).otherwise("").alias("isrc"),
+    )
 
 
-@query()
+@query(f"""WITH RECURSIVE classes AS (SELECT p_name, p_brand, min(p_partkey) AS query_id, min(p_type) AS hint, min(p_size) AS size FROM part GROUP BY p_name, p_brand),
+  asked AS MATERIALIZED (SELECT query_id, CASE WHEN query_id % 7 = 0 THEN 'zzz ' || string_split(p_name, ' ')[2] ELSE p_name END AS title, lower(p_brand) AS artist, CASE WHEN query_id % 4 = 0 THEN '' ELSE lower(hint) END AS hint, CASE WHEN query_id % 3 = 0 THEN size * 40000 END AS ms FROM classes),
+  hits AS (SELECT a.*, p.p_partkey AS row_id, p_name AS name, p_brand AS by_name, p_type AS album, CAST(round(p_retailprice * 1000) AS INTEGER) AS cand_ms, p_partkey % 50 AS collection_id,
+                  contains(lower(p_name), string_split(title, ' ')[1]) OR contains(lower(p_name), string_split(title, ' ')[2]) AS by_title, contains(lower(p_brand), artist) AS by_artist, hint <> '' AND contains(lower(p_type), hint) AS by_album FROM asked a CROSS JOIN part p),
+  tiers AS (SELECT *, CASE WHEN by_title AND by_artist AND (by_album OR hint = '') THEN 1 WHEN by_title AND by_artist THEN 2 WHEN by_title OR by_artist OR by_album THEN 3 END AS tier FROM hits WHERE by_title OR by_artist OR by_album),
+  rows AS MATERIALIZED (SELECT *, '' AS kind FROM tiers QUALIFY tier = min(tier) OVER (PARTITION BY query_id)),
+  albums AS (SELECT p_partkey % 50 AS collection_id, lower(min(p_type)) AS a_name, count(*) AS n FROM part GROUP BY 1),
+  {Q.likeness("SELECT DISTINCT hint AS a, a_name AS b FROM asked CROSS JOIN albums UNION SELECT DISTINCT title, lower(p_name) FROM asked JOIN part ON lower(p_name) = title", Q.letter_pairs("rows"))},
+  {Q.track_scores("rows", 0.55)},
+  totals AS (SELECT query_id, row_id, base + CASE WHEN hint = '' THEN CASE WHEN n <= 2 THEN 0.2 ELSE -0.15 END WHEN near >= 0.9 THEN 1 WHEN near >= 0.7 THEN 0.5 + near * 0.3 WHEN n <= 2 THEN -0.25 ELSE near * 0.3 - 0.05 END AS total
+             FROM (SELECT s.*, n, CASE WHEN sim = 0 OR regexp_matches(hint, '\bstandard\b') = regexp_matches(a_name, '\bstandard\b') THEN sim ELSE greatest(0, sim - 0.18) END AS near
+                   FROM scored s JOIN albums USING (collection_id) JOIN likeness ON a = hint AND b = a_name WHERE base IS NOT NULL)),
+  best AS (SELECT * FROM totals QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY total DESC, row_id) = 1),
+  coded AS (SELECT query_id, min(p_partkey) AS row_id FROM asked JOIN part ON upper(p_name) = upper(title) WHERE query_id % 5 = 0 GROUP BY query_id)
+  SELECT query_id, row_id AS track_id, round(total, 6) AS score FROM best WHERE total >= 0.7
+  UNION ALL SELECT query_id, row_id, 1.0 FROM coded WHERE query_id NOT IN (SELECT query_id FROM best WHERE total >= 0.7)""")
 def best_local_match(spark, sf_dir):
     return matched(_requests(spark, sf_dir), tracks(spark, sf_dir), albums(spark, sf_dir)).select("query_id", "track_id", F.round("score", 6).alias("score"))
 

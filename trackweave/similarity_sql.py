@@ -57,3 +57,36 @@ def likeness(pairs: str, more: str = "SELECT '' AS p, '' AS q WHERE false") -> s
                                                    ELSE 0.5 + 0.5 * least(length(a), length(b)) / greatest(length(a), length(b)) END) END AS sim
       FROM worded
     )"""
+
+
+def track_scores(rows: str, least: float) -> str:
+    """CTEs ending in scored: ``rows`` (a table of row columns, title, artist, hint, ms, name, by_name, album, cand_ms, kind) with base, the score of track_scores.
+
+    For names without remarks, whose only edition word is 'standard'; scores under ``least`` are null. Needs lcs (see common) of the letters and
+    digits of titles and names, of artists, and of hints and albums.
+    """
+    letters = lambda c: f"regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"
+    standard = lambda c: f"regexp_matches(lower({c}), '\\bstandard\\b')"
+    return f"""lettered AS (SELECT *, {letters("title")} AS x1, {letters("name")} AS y1, {letters("artist")} AS x2, {letters("by_name")} AS y2, {letters("hint")} AS x3, {letters("album")} AS y3 FROM {rows}),
+    apart AS (
+      SELECT r.*, {basic("x1", "y1", "a.n")} AS d_title, CASE WHEN x2 <> '' AND contains(y2, x2) THEN 0 ELSE {basic("x2", "y2", "b.n")} END AS d_artist, {basic("x3", "y3", "c.n")} AS d_album,
+             CASE WHEN y1 <> '' AND length(y1) < length(x1) AND starts_with(x1, y1) THEN 1 - length(y1) / length(x1) ELSE 0 END AS cut
+      FROM lettered r JOIN lcs a ON a.p = x1 AND a.q = y1 JOIN lcs b ON b.p = x2 AND b.q = y2 JOIN lcs c ON c.p = x3 AND c.q = y3
+    ), effective AS (SELECT *, least(1, greatest(0, d_title + 0.3 * cut)) AS eff FROM apart
+    ), penalised AS (
+      SELECT *, 6 * eff + 3 * (CASE WHEN eff < 0.08 THEN d_artist * 0.5 ELSE d_artist END)
+             + CASE WHEN coalesce(ms, 0) <> 0 AND coalesce(cand_ms, 0) <> 0 THEN 2 * least(1, greatest(0, (abs(cand_ms - ms) - 2000) / 15000)) ELSE 0 END
+             + CASE WHEN hint = '' THEN 3.5 + 0.5 * 0.5 ELSE 2 * d_album END
+             + CASE WHEN hint <> '' AND {standard("hint")} <> {standard("album")} THEN 2 WHEN hint = '' AND {standard("album")} THEN 2 ELSE 0 END AS total,
+             6 + 3 + 3.5 + 0.5 + CASE WHEN coalesce(ms, 0) <> 0 AND coalesce(cand_ms, 0) <> 0 THEN 2 ELSE 0 END + CASE WHEN hint <> '' THEN 2 ELSE 0 END
+             + CASE WHEN hint <> '' AND ({standard("hint")} OR {standard("album")}) THEN 2 WHEN hint = '' AND {standard("album")} THEN 2 ELSE 0 END AS most
+      FROM effective
+    ), scored AS MATERIALIZED (
+      SELECT * EXCLUDE (total, most), CASE WHEN cut <= 0.25 AND eff <= 0.35 AND d_artist <= 0.8 AND 1 - total / most >= {least} THEN 1 - total / most END AS base FROM penalised
+    )"""
+
+
+def letter_pairs(rows: str) -> str:
+    """The pairs that track_scores needs, as a query of p, q."""
+    letters = lambda c: f"regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"
+    return " UNION ".join(f"SELECT {letters(a)} AS p, {letters(b)} AS q FROM {rows}" for a, b in (("title", "name"), ("artist", "by_name"), ("hint", "album")))
