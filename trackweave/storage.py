@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,8 +34,35 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/trackweave/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage is cut and survives lost executors."""
+_open: ContextVar[list[str] | None] = ContextVar("open_tables", default=None)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: its lineage is cut and survives lost executors.
+
+    Within temporary_tables() the copy is removed at its end, unless ``keep`` is set.
+    """
     path = new_folder(df.sparkSession, name)
+    if not keep and (paths := _open.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder, wherever it is stored."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove what written() writes inside, when the block ends, also by an error. What outlives the block must be written with ``keep``."""
+    paths: list[str] = []
+    token = _open.set(paths)
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        for path in paths:
+            removed(spark, path)
