@@ -116,11 +116,43 @@ def test_lines_of_repeated_ids(spark):
 def test_line_runs_compact(spark):
     runs = line_dedup.LineRuns(spark)
     batch = lambda pairs: spark.createDataFrame(pairs, "h1 long, h2 long, doc_id long")
+    held = lambda names: sorted(r.h1 for x in names for r in spark.table(x).collect())
     assert runs.add(batch([(1, 1, 5), (1, 1, 7), (2, 2, 5)])).count() == 2
+    first = runs.runs()[0]
     assert [tuple(r) for r in runs.add(batch([(1, 1, 6), (3, 3, 6)])).collect()] == [(3, 3)]
-    assert runs.add(batch([(2, 2, 9)])).count() == 0
-    assert [len(x) for x in runs.levels] == [1, 1]
-    assert sorted((r.h1, r.n, r.top) for r in runs.totals().collect()) == [(1, 3, 7), (2, 2, 9), (3, 1, 6)]
+    assert [held([r]) for r in runs.runs()] == [[1, 2], [3]] and held(runs.deltas[first]) == [1]  # the known line is in no other run
+    assert runs.add(batch([(2, 2, 9), (3, 3, 9)])).count() == 0
+    assert [len(x) for x in runs.levels] == [1, 1] and first not in runs.runs() and held(runs.runs()) == [1, 2, 3]
+    assert [held(runs.deltas[r]) for r in runs.runs()] == [[], [2, 3]]
+    assert sorted((r.h1, r.n, r.top) for r in runs.totals().collect()) == [(1, 3, 7), (2, 2, 9), (3, 2, 9)]
+    runs.drop()
+    assert not runs.paths and not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_line_runs_hold_each_line_once(spark):
+    rng = random.Random(3)
+    rows = [(k % 5, rng.randrange(40), k) for k in range(600)]
+    runs, seen = line_dedup.LineRuns(spark, 2), set()
+    for b in range(5):
+        own = [(h, h, i) for x, h, i in rows if x == b]
+        fresh = {r.h1 for r in runs.add(spark.createDataFrame(own, "h1 long, h2 long, doc_id long")).collect()}
+        assert fresh == {h for h, _, _ in own} - seen
+        seen |= fresh
+        live = [r.h1 for name in runs.runs() for r in spark.table(name).collect()]
+        assert sorted(live) == sorted(seen)
+    want = {h: (len({i for _, x, i in rows if x == h}), max(i for _, x, i in rows if x == h)) for h in seen}
+    assert {r.h1: (r.n, r.top) for r in runs.totals().collect()} == want
+    runs.drop()
+
+
+def test_runs_go_after_a_failure(spark, monkeypatch):
+    def fails(self):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(line_dedup.LineRuns, "totals", fails)
+    with pytest.raises(RuntimeError):
+        line_dedup.dedup_lines(spark.createDataFrame([(1, "x" * 50)], "doc_id long, text string"))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
 
 
 def test_mixing_targets(spark):
@@ -422,6 +454,41 @@ def test_pipeline_repeated_and_null_ids(spark):
     assert sum(len(r.text.split()) for r in out) == 72 and Counter(r.k for r in out) == dict.fromkeys(range(24), 1)
 
 
+def test_pipeline_clashing_names(spark):
+    import corpus_pipeline as P
+
+    names = ["row_", "tie_", "of", "position_", "kept", "group_of", "number", "score"]
+    for ids in ([1, 2, 3], [1, 1, None]):
+        docs = spark.createDataFrame([(i, "a b c d e f", "s", *range(8)) for i in ids], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+        for stage in (P.drop_copies, P.drop_near_copies):
+            out = stage(spark, docs, "")
+            assert out.columns == docs.columns and [tuple(r)[3:] for r in out.collect()] == [tuple(range(8))]
+        out = P.mix_sources(spark, docs, "")
+        assert out.columns == docs.columns and out.count() == 3
+
+
+def test_pipeline_empty_table(spark, tmp_path):
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (name == P.STAGES[-1][0] or out.columns == docs.columns)
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_two_pipelines_at_once(spark, tmp_path):
+    """A stage's result can be read after the next stages have begun."""
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(1, "a b c d e f g", "s"), (1, "a b c d e f g", "s"), (2, "other words", "s")], "doc_id long, text string, source string")
+    first = P.drop_copies(spark, docs, "")
+    second = P.drop_near_copies(spark, docs, "")
+    assert first.count() == second.count() == 2 and P.drop_near_copies(spark, first, "").count() == 2
+
+
 def test_pipeline_decodes(spark):
     import corpus_pipeline
 

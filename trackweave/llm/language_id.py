@@ -131,11 +131,15 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """For each language, the grams of its tree with their counts, from the rows of ``docs`` that have a language and a text.
 
     Of each language at most ``per_language`` documents of at most TRAIN_BYTES bytes are taken, one for each
-    value of a hash of the id, so the counts and the model are bounded whatever the input's size.
+    value of a hash of the id (rows that repeat an id count once for a language), so the counts and the model are bounded whatever
+    the input's size: to TRAIN_DOCS times TRAIN_BYTES grams a language, one for each byte.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES))
-    chosen = own.groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(per_language)).alias("slot")).agg(F.max("doc_id").alias("doc_id"))
-    chosen = written(chosen.select(F.col("doc_id").alias("of")), "lid-sample")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(per_language)).alias("slot")
+    chosen = written(own.groupBy(F.col("lang").alias("in"), slot).agg(F.max("doc_id").alias("of")), "lid-sample")
+    # the sample has per_language ids for a language at most, so it is small; of the rows that repeat an id one stays, by a hash of its text
+    picked = own.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("lang") == F.col("in")))
+    chosen = written(picked.groupBy("lang", "slot").agg(F.max_by("text", F.xxhash64("text")).alias("text")).select("lang", "text"), "lid-texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,8 +154,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
                 found, n = np.unique(codes[keep], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([x] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    # the sample has per_language ids for a language at most, so it is small
-    counted = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("of"), "left_semi").select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
+    counted = chosen.mapInArrow(count, "lang string, gram long, n long")
     rows = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return {x: (g.gram.to_numpy().astype(np.uint64), g.n.to_numpy().astype(float)) for x, g in rows.groupby("lang")}
 

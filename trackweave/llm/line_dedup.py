@@ -1,11 +1,10 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A run is a bucketed, sorted table of line hashes with the number of documents that hold the line and the largest
-id among them. Documents come in batches. Each batch is merge-joined with the lines of all runs, without a shuffle of
-the runs: those that no run has are fresh and are the lines of the batch's own run; for the others the run has counts
-only, which are added to the lines of earlier runs and which later batches do not look at. When a level has as many runs
-as the fan-out, they are merged into one run of the next level. The totals say which lines are frequent; then all runs are
-dropped.
+id among them. Documents come in batches. Each batch is merge-anti-joined with all runs, without a shuffle of the runs: only
+lines that no run has enter the batch's own run. Counts of the others go to a delta of the run that has them. When a level has as
+many runs as the fan-out, they are merged with their deltas into one run of the next level. The totals say which lines are
+frequent; then all runs are dropped.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, documents, shuffle_partitions, utf8, written
+from .common import LOWER, SPACE, documents, new_folder, removed, shuffle_partitions, utf8, written
 
 #: Lines shorter than this (in code points, as keys) are never dropped; nor are those in fewer documents.
 LEAST_CHARS, LEAST_DOCS = 40, 5
@@ -62,64 +61,83 @@ def line_hashes(docs: DataFrame, batches: int = BATCHES, least_chars: int = LEAS
 
 
 class LineRuns:
-    """Levelled runs; each is a table bucketed and sorted by (h1, h2) with n (documents), top (largest id) and fresh (a line of this run; else counts for a line of an earlier one)."""
+    """Levelled runs of lines. A run is a table bucketed and sorted by (h1, h2) with n (documents) and top (largest id); no line is in two live runs.
+
+    A batch is merge-joined with the live runs without shuffling them: lines that no run has become the batch's own run, and
+    counts of lines that a run has go to a delta of that run, which is added to it when it is compacted or totalled. The tables lie in
+    the shared folder.
+    """
 
     def __init__(self, spark: SparkSession, fan_out: int = FAN_OUT):
-        self.spark, self.fan_out, self.levels, self.merged_runs = spark, fan_out, [], []
+        self.spark, self.fan_out = spark, fan_out
+        self.levels: list[list[str]] = []
+        self.deltas: dict[str, list[str]] = {}
+        self.paths: dict[str, str] = {}
         self.buckets = shuffle_partitions(spark)
 
-    def _run(self, df: DataFrame) -> str:
+    def _table(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(name)
+        self.paths[name] = new_folder(self.spark, name)
+        df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", self.paths[name]).saveAsTable(name)
         return name
 
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        removed(self.spark, self.paths.pop(name))
+
     def runs(self) -> list[str]:
         return [r for level in self.levels for r in level]
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Take a batch of (h1, h2, doc_id); returns the batch's lines that no earlier batch had. All rows of an id belong to one batch."""
-        own = lines.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("top"))
-        known = F.lit(False)
-        for k, name in enumerate(self.runs()):
-            own = own.join(self.spark.table(name).filter("fresh").select("h1", "h2", F.lit(True).alias(f"in{k}")), ["h1", "h2"], "left")
-            known = known | F.coalesce(f"in{k}", F.lit(False))
-        run = self._run(own.select("h1", "h2", "n", "top", (~known).alias("fresh")))
+        """Take a batch of (h1, h2, doc_id); returns the batch's lines that no earlier batch had, valid until the next one. All rows of an id belong to one batch."""
+        self.compact()
+        own = self._table(lines.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("top")))
+        batch, fresh = self.spark.table(own), self.spark.table(own)
+        for run in self.runs():
+            held = self.spark.table(run).select("h1", "h2")
+            fresh = fresh.join(held, ["h1", "h2"], "left_anti")
+            self.deltas[run].append(self._table(batch.join(held, ["h1", "h2"], "left_semi")))
         if not self.levels:
             self.levels.append([])
-        self.levels[0].append(run)
-        self.compact()
-        return self.spark.table(run).filter("fresh").select("h1", "h2")
+        if self.runs():
+            self.levels[0].append(self._table(fresh))
+            self._drop(own)
+        else:
+            self.levels[0].append(own)  # the first batch knows nothing yet
+        self.deltas[self.levels[0][-1]] = []
+        return self.spark.table(self.levels[0][-1]).select("h1", "h2")
 
     def compact(self) -> None:
-        """Merge each level that is full into a run of the next."""
+        """Merge each level that is full, with its deltas, into a run of the next."""
         level = 0
         while level < len(self.levels):
             if len(self.levels[level]) >= self.fan_out:
-                run = self._run(self.merged(self.levels[level]))
-                self.merged_runs += self.levels[level]
+                old = self.levels[level]
+                run = self._table(self.merged(old))
                 self.levels[level] = []
                 if level + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[level + 1].append(run)
+                for name in [x for r in old for x in [*self.deltas.pop(r), r]]:
+                    self._drop(name)
+                self.deltas[run] = []
             level += 1
 
     def drop(self) -> None:
-        """Drop all runs, those that were merged too."""
-        for name in [*self.merged_runs, *self.runs()]:
-            self.spark.sql(f"DROP TABLE {name}")
-        self.levels, self.merged_runs = [], []
+        """Drop all tables, also after a batch that failed."""
+        for name in list(self.paths):
+            self._drop(name)
+        self.levels, self.deltas = [], {}
 
     def merged(self, names: list[str]) -> DataFrame:
-        """Sorted runs merged bucket by bucket: counts add up, the largest id stays."""
+        """Sorted runs and their deltas merged bucket by bucket: counts add up, the largest id stays."""
 
         def two(a: DataFrame, b: DataFrame) -> DataFrame:
-            b = b.select("h1", "h2", F.col("n").alias("n2"), F.col("top").alias("top2"), F.col("fresh").alias("fresh2"))
+            b = b.select("h1", "h2", F.col("n").alias("n2"), F.col("top").alias("top2"))
             zero = F.lit(0).cast("long")
-            return a.join(b, ["h1", "h2"], "full").select(
-                "h1", "h2", (F.coalesce("n", zero) + F.coalesce("n2", zero)).alias("n"), F.greatest("top", "top2").alias("top"), (F.coalesce("fresh", F.lit(False)) | F.coalesce("fresh2", F.lit(False))).alias("fresh")
-            )
+            return a.join(b, ["h1", "h2"], "full").select("h1", "h2", (F.coalesce("n", zero) + F.coalesce("n2", zero)).alias("n"), F.greatest("top", "top2").alias("top"))
 
-        return reduce(two, map(self.spark.table, names))
+        return reduce(two, [self.spark.table(x) for r in names for x in [r, *self.deltas[r]]])
 
     def totals(self) -> DataFrame:
         return self.merged(self.runs())
@@ -136,10 +154,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     lines = written(line_hashes(own, batches, least_chars), "lines")
     runs = LineRuns(docs.sparkSession)
-    for k in range(batches):
-        runs.add(lines.filter(F.col("batch") == k))
-    frequent = written(runs.totals().filter(F.col("n") >= least_docs).select("h1", "h2", "top"), "frequent-lines")
-    runs.drop()
+    try:
+        for k in range(batches):
+            runs.add(lines.filter(F.col("batch") == k))
+        frequent = written(runs.totals().filter(F.col("n") >= least_docs).select("h1", "h2", "top"), "frequent-lines")
+    finally:
+        runs.drop()
     hash16 = F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))
     drops = lines.join(frequent, ["h1", "h2"]).filter("doc_id < top").select(F.col("doc_id").alias("of"), F.unhex(hash16).alias("h"))
     drops = drops.groupBy("of").agg(F.collect_set("h").alias("drop"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, documents, utf8, written
+from .common import LOWER, documents, temporary_tables, utf8, written
 from .components import roots
 
 #: Bands and rows of a band. Sets of similarity 0.8 share a bucket with a chance of 1 - (1 - 0.8**5)**25 = 0.99995.
@@ -205,8 +205,13 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     Two documents are linked if 100 * intersection >= percent * union of their sets. Null, empty and blank texts
     have empty sets and no links. A null id is never linked, has a null component and is kept. Rows that repeat an
     id are one document, linked through all its texts. Empty tables give no rows; other columns may have any name.
+    The result is a written table; all others are removed.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    with temporary_tables(docs.sparkSession):
+        return _near_groups(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), width, percent)
+
+
+def _near_groups(own: DataFrame, width: int, percent: int) -> DataFrame:
     signed = written(signatures(own, width), "signatures")
     classes = signed.filter("set_hash IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "classes")
@@ -239,7 +244,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     groups = classes.join(found, F.col("rep") == F.col("id"), "left").select(F.col("set_hash").alias("of"), F.coalesce("root", "rep").alias("root"))
     groups = written(groups, "groups")
     component = F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("root"))
-    return signed.join(groups, F.col("set_hash") == F.col("of"), "left").select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    out = signed.join(groups, F.col("set_hash") == F.col("of"), "left").select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return written(out, "near-groups", keep=True)
 
 
 def op10_minhash_dedup(spark, sf_dir: str) -> DataFrame:

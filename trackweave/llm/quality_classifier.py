@@ -138,14 +138,15 @@ class Network:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
-    """At most TRAIN_ROWS labelled documents (text, label): one for each value of a hash of the id. Documents with conflicting labels are left out."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("of")).agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("most")).filter("label = most")
-    rows = own.filter(F.octet_length("text") <= TRAIN_BYTES).join(known, F.col("doc_id") == F.col("of"))
-    chosen = written(rows.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(TRAIN_ROWS)).alias("slot")).agg(F.max("doc_id").alias("chosen")).select("chosen"), "quality-sample")
-    # the sample has TRAIN_ROWS ids at most, so it is small
-    picked = known.join(F.broadcast(chosen), F.col("of") == F.col("chosen"), "left_semi")
-    return written(own.join(F.broadcast(picked), F.col("doc_id") == F.col("of")).select("text", "label").repartition(PARTS), "quality-texts")
+    """At most TRAIN_ROWS labelled documents (text, label) of at most TRAIN_BYTES: one row for each value of a hash of the id. Documents with conflicting labels are left out."""
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.octet_length("text") <= TRAIN_BYTES)
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("of")).agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("most")).filter("label = most").select("of", "label")
+    slot = F.pmod(F.xxhash64("of"), F.lit(TRAIN_ROWS)).alias("slot")
+    chosen = written(own.select("doc_id").join(known, F.col("doc_id") == F.col("of")).groupBy(slot).agg(F.max("of").alias("of")), "quality-sample")
+    # the sample has TRAIN_ROWS ids at most, so it is small; of the rows that repeat an id one stays, by a hash of its text
+    picked = F.broadcast(known.join(F.broadcast(chosen), "of"))
+    rows = own.join(picked, F.col("doc_id") == F.col("of")).groupBy("slot").agg(F.max_by(F.struct("text", "label"), F.xxhash64("text")).alias("row"))
+    return written(rows.select("row.text", "row.label").repartition(PARTS), "quality-texts")
 
 
 def _vocabulary(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
