@@ -6,7 +6,9 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.llm import exact_dedup, minhash_dedup, mixing, quality_classifier, sentencepiece_codec
@@ -14,68 +16,78 @@ from trackweave.llm.common import held_out, new_folder, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject; it learns from labelled documents that are not held out."""
+    """Documents that the quality classifier does not reject; it learns from labelled documents that are not held out.
+
+    Null texts are scored as empty ones, rows that repeat alike; an empty table gives no rows, and without labels all rows stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     data = quality_classifier.train(docs.filter(~held_out(F.col("doc_id"))), labels)
     return quality_classifier.scored(docs, data).filter("predicted = 1").select(*docs.columns)
 
 
-#: Numbered copies of the documents that earlier stages wrote.
-_copies: list[str] = []
+def ids_name_rows(docs: DataFrame) -> bool:
+    """Whether each row has an id of its own."""
+    n, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    return n == ids
 
 
-def tidied(spark: SparkSession) -> None:
-    """Remove the numbered copies of earlier stages. A stage's result must be written before the next stage begins, as run() does."""
-    while _copies:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_copies.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs``, written, with a number for each row (row_) and a hash of its values (tie_), as ids may repeat or be null."""
-    spark, path = docs.sparkSession, new_folder(docs.sparkSession, "numbered")
-    out = docs.withColumns({"row_": F.monotonically_increasing_id(), "tie_": F.xxhash64(*docs.columns)})
-    out.write.parquet(path)
-    _copies.append(path)
-    return spark.read.schema(out.schema).parquet(path)
+def kept_rows(docs: DataFrame, groups: Callable[[DataFrame, str], DataFrame], group: str, first: Callable[[Column, Column], Column]) -> DataFrame:
+    """One row of each group. ``groups`` takes docs and the name of a column of distinct ids, and gives doc_id, ``group`` and kept for each.
 
-
-def picked(rows: DataFrame, best: DataFrame) -> DataFrame:
-    """Numbered rows that ``best`` (of, a column of row numbers) has, without their numbers."""
-    return rows.join(best, F.col("row_") == F.col("of"), "left_semi").drop("row_", "tie_")
+    Where ids are distinct, the rows marked as kept stay. Else each row gets a number and a hash of its values, in a written copy, and
+    of a group the row that ``first`` (an aggregate of the id and of a struct of id, hash and number) picks stays.
+    """
+    of = unused(docs, "of")
+    if ids_name_rows(docs):
+        best = groups(docs, "doc_id").filter("kept").select(F.col("doc_id").alias(of))
+        return docs.join(best, F.col("doc_id") == F.col(of), "left_semi")
+    row, tie = unused(docs, "row_"), unused(docs, "tie_")
+    rows = written(docs.withColumns({row: F.monotonically_increasing_id(), tie: F.xxhash64(*docs.columns)}), "numbered")
+    known = groups(rows, row).select(F.col("doc_id").alias(of), F.col(group).alias("group_of"))
+    members = rows.select("doc_id", F.struct("doc_id", tie, F.col(row).alias("number")).alias("who"), row).join(known, F.col(row) == F.col(of))
+    best = members.groupBy("group_of").agg(first(F.col("doc_id"), F.col("who"))["number"].alias(of))
+    return rows.join(best, F.col(row) == F.col(of), "left_semi").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the rows of equal texts the one with the largest id stays, and one only: nulls are least, equal ids are picked from by a hash."""
-    tidied(spark)
-    rows = numbered(docs)
-    groups = exact_dedup.exact_groups(rows, "row_").select(F.col("doc_id").alias("of"), "keep_id")
-    members = rows.select("doc_id", "tie_", "row_").join(groups, F.col("row_") == F.col("of"))
-    return picked(rows, members.groupBy("keep_id").agg(F.max(F.struct("doc_id", "tie_", "row_"))["row_"].alias("of")))
+    """Of the rows of equal texts the one with the largest id stays, and one only: nulls are least, equal ids are picked from by a hash.
+
+    Null texts are empty ones; an empty table gives no rows; other columns may have any name.
+    """
+    return kept_rows(docs, exact_dedup.exact_groups, "keep_id", lambda _, who: F.max(who))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by a similarity of 0.8 or more on five-word shingles, the one with the smallest id stays.
 
-    Each row is a document of its own, also if its id repeats or is null; null is the last to stay.
+    Each row is a document of its own, also if its id repeats or is null; null is the last to stay. Empty and null texts are
+    connected with nothing and stay; an empty table gives no rows; other columns may have any name.
     """
-    tidied(spark)
-    rows = numbered(docs)
-    groups = minhash_dedup.near_groups(rows, "row_").select(F.col("doc_id").alias("of"), "component_id")
-    members = rows.select("doc_id", "tie_", "row_").join(groups, F.col("row_") == F.col("of"))
-    return picked(rows, members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie_", "row_"))["row_"].alias("of")))
+    return kept_rows(docs, minhash_dedup.near_groups, "component_id", lambda doc_id, who: F.min_by(who, F.struct(doc_id.isNull(), who)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the curriculum takes them, in training order: one row per copy, none for those that the mix leaves out."""
-    tidied(spark)
-    copies = mixing.curriculum_mix(docs, carry=True).select("carried.*", F.explode("positions").alias("position_"))
-    return copies.repartitionByRange("position_", "doc_id").sortWithinPartitions("position_", "doc_id").drop("position_")
+    """Documents as the curriculum takes them, in training order: one row per copy, none for those that the mix leaves out.
+
+    Null and empty texts have no words and are left out; a null source is one of its own; an empty table gives no rows; other columns
+    may have any name.
+    """
+    position = unused(docs, "position_")
+    copies = mixing.curriculum_mix(docs, carry=True).select("carried.*", F.explode("positions").alias(position))
+    return copies.repartitionByRange(position, "doc_id").sortWithinPartitions(position, "doc_id").drop(position)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of each row and the SHA-256 of the text that they decode to: doc_id, ids, n_tokens, decoded_sha256.
 
+    Null texts are empty ones, which have no ids; rows that repeat an id are rows of their own; an empty table gives no rows.
     The ids are written before they are decoded: the tables of surfaces would else be in every plan of the encoding that
     the driver describes anew as its shuffles end.
     """
