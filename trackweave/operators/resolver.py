@@ -18,8 +18,9 @@ from .select_best import first_of
 LEAST_SCORE, TOLERANCE_MS = 0.35, 5000
 #: Least similarity of an artist whose country counts; of titles and artists that agree.
 COUNTRY, SAME_TITLE, SAME_ARTIST = 0.85, 0.75, 0.60
-QUERY_SUFFIX = r"\s*-\s*(?:single|ep)\s*$"
-#: Artist-list separators, and guests in a title (fixed values).
+#: Remarks that are no part of a query's title, a bracketed tag, guests of any form, artist-list separators, and bracketed guests (fixed values).
+QUERY_REMARKS = r"\s*[\(\[](bonus track|bonus|deluxe|explicit|clean|radio edit|interlude)[\)\]]"
+QUERY_TAG, QUERY_GUESTS = r"[\(\[]([^\)\]]+)[\)\]]", r"\b(?:ft\.?|feat\.?|featuring|w/)\s+([^(\[\)\]]+)"
 SEVERAL, GUESTS = r"[,;&]|\s+(?:feat\.?|ft\.?|with|x|and)\s+", r"(?iu)\((?:feat|ft)\.?\s+([^)]+)\)"
 
 
@@ -149,6 +150,22 @@ def quoted_term(field: str, value: Column) -> Column:
     return F.concat(F.lit(f"{field}:"), F.when(F.contains(value, F.lit(" ")), F.concat(F.lit('"'), value, F.lit('"'))).otherwise(value))
 
 
+def recording_query(title: Column, artist: Column, album: Column, with_tag: bool = False) -> Column:
+    """A fielded query for a recording: its title without brackets, the first artist, the title's first guest, the album.
+
+    ``with_tag`` adds the words of the title's first bracket, without guests, to the title.
+    """
+    title = T.text_or_empty(title)
+    plain = T.stripped(T.without(title, QUERY_REMARKS))
+    core = F.coalesce(F.nullif(T.without_brackets(plain), F.lit("")), plain)
+    tag = F.regexp_replace(T.without(T.stripped(F.regexp_extract(title, QUERY_TAG, 1)), QUERY_GUESTS), r"^[ \[\]()\-]+|[ \[\]()\-]+$", "")
+    name = F.when(tag != "", F.concat(core, F.lit(" "), tag)).otherwise(core) if with_tag else core
+    guest = T.stripped(F.substring_index(T.stripped(F.regexp_extract(title, f"(?iuU){QUERY_GUESTS}", 1)), ",", 1))
+    there = lambda field, value, known: F.when(known != "", quoted_term(field, value))
+    by = T.text_or_empty(artist)
+    return F.concat_ws(" AND ", there("recording", name, core), there("artist", T.primary_artist(by), by), there("artist", guest, guest), there("release", album, T.text_or_empty(album)))
+
+
 def plain_term(c: Column) -> Column:
     """A term of a free query: ASCII letters, digits, apostrophes and underscores, single spaces."""
     return F.trim(F.regexp_replace(F.regexp_replace(T.folded(T.text_or_empty(c)), r"[^\w\s']", " "), r"\s{2,}", " "))
