@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.llm import exact_dedup, minhash_dedup, mixing, quality_classifier, sentencepiece_codec
-from trackweave.llm.common import held_out, new_folder, written
+from trackweave.llm.common import bounded_batches, documents, held_out, new_folder, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null texts are scored as empty ones, rows that repeat alike; an empty table gives no rows, and without labels all rows stay.
     """
+    bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     data = quality_classifier.train(docs.filter(~held_out(F.col("doc_id"))), labels)
     return quality_classifier.scored(docs, data).filter("predicted = 1").select(*docs.columns)
@@ -44,6 +45,7 @@ def kept_rows(docs: DataFrame, groups: Callable[[DataFrame, str], DataFrame], gr
     Where ids are distinct, the rows marked as kept stay. Else each row gets a number and a hash of its values, in a written copy, and
     of a group the row that ``first`` (an aggregate of the id and of a struct of id, hash and number) picks stays.
     """
+    bounded_batches(docs.sparkSession)
     of = unused(docs, "of")
     if ids_name_rows(docs):
         best = groups(docs, "doc_id").filter("kept").select(F.col("doc_id").alias(of))
@@ -91,6 +93,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     The ids are written before they are decoded: the tables of surfaces would else be in every plan of the encoding that
     the driver describes anew as its shuffles end.
     """
+    bounded_batches(spark)
     vocabulary = sentencepiece_codec.Vocabulary.load(sentencepiece_codec.MODEL)
     coded = sentencepiece_codec.decode(written(sentencepiece_codec.encode(docs, vocabulary), "ids"), vocabulary)
     return coded.select("doc_id", "ids", "n_tokens", F.sha2(F.col("text"), 256).alias("decoded_sha256"))
@@ -110,7 +113,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
         path = new_folder(spark, f"pipeline-{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
