@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -118,3 +119,27 @@ def empty_cache(dimension: DataFrame) -> DataFrame:
 def first_filled(*columns: Column) -> Column:
     """The first of several values that is neither null nor empty; as of a cover in four sizes, from the largest on."""
     return F.coalesce(*[F.nullif(T.text_or_empty(c), F.lit("")) for c in columns], F.lit(""))
+
+
+def code_classes(df: DataFrame, code: Column, key: str) -> DataFrame:
+    """(key, first, n): each row's class of equal codes, named by its smallest key, and the class's size. Null and empty codes are classes of one.
+
+    Classes and membership stand for all pairs of equal codes, so a frequent code costs no more than its rows.
+    """
+    rows = df.select(key, F.nullif(code, F.lit("")).alias("code_"))
+    classes = rows.filter("code_ IS NOT NULL").groupBy(F.col("code_").alias("of_")).agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n"))
+    joined = rows.join(classes, F.col("code_") == F.col("of_"), "left")
+    return joined.select(key, F.coalesce("first", key).alias("first"), F.coalesce("n", F.lit(1).cast("long")).alias("n"))
+
+
+def band_partners(df: DataFrame, by: str, value: str, width: int) -> DataFrame:
+    """``df`` with ``partners``: how many other rows of the same ``by`` have a value within ``width``; null where either is null.
+
+    Values are dealt to bins of ``width`` and each row also to the bins beside its own, so a window holds three bins
+    and no pair is formed; a frequent ``by`` is spread over its bins.
+    """
+    bin_ = F.floor(F.col(value) / width)
+    dealt = df.withColumn("off_", F.explode(F.when(F.col(value).isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(-1), F.lit(0), F.lit(1))))).withColumn("bin_", bin_ + F.col("off_"))
+    near = W.partitionBy(by, "bin_").orderBy(value).rangeBetween(-width, width)
+    counted = dealt.withColumn("partners", F.when(F.col(value).isNotNull() & F.col(by).isNotNull(), F.count(F.lit(1)).over(near) - 1))
+    return counted.filter("off_ = 0").drop("off_", "bin_")

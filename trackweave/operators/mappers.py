@@ -44,7 +44,7 @@ def from_catalog(df: DataFrame, title: str = "", artist: str = "") -> DataFrame:
     primary, owner = T.normalize(T.primary_artist(by)), T.normalize(album_artist)
     year = F.substring(F.col("release_date").cast("string"), 1, 4) if "release_date" in df.columns else F.lit("")
     return df.select(
-        *[c for c in ("query_id",) if c in df.columns],
+        *[c for c in ("query_id", "score") if c in df.columns],
         name.alias("title"), by.alias("artist"), album_artist.alias("album_artist"), T.text_or_empty(F.col("collection_name")).alias("album"),
         F.when(year.isin("", "0"), "").otherwise(F.coalesce(year, F.lit(""))).alias("year"),
         *[F.coalesce(F.col(c), F.lit(0)).alias(n) for c, n in (("track_number", "track_number"), ("disc_number", "disc_number"), ("track_count", "total_tracks"), ("disc_count", "total_discs"))],

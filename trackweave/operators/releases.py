@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .select_best import first_of
 
+#: Rows of a list of artists that are broadcast.
+LISTED = 10_000
+
 
 def track_total(media: Column) -> Column:
     """Number of tracks of all media (an array of structs with ``tracks``); null media or tracks count as none."""
@@ -34,9 +37,10 @@ def release_track(rows: DataFrame, key: str, wanted: Column, title: Column, alte
 def not_listed(df: DataFrame, listed: DataFrame, artist: Column, title: Column) -> DataFrame:
     """``df`` without the rows whose artist is in ``listed`` (artist, word) with a word that the title holds.
 
-    ``listed`` is the engine's own fixed list, so it is broadcast.
+    A list of up to LISTED rows is broadcast; a longer one is joined by artist as Spark sees fit.
     """
-    return df.join(F.broadcast(listed), (artist == F.col("artist")) & F.contains(title, F.col("word")), "left_anti")
+    listed = F.broadcast(listed) if listed.limit(LISTED + 1).count() <= LISTED else listed
+    return df.join(listed, (artist == F.col("artist")) & F.contains(title, F.col("word")), "left_anti")
 
 
 def exported(df: DataFrame, key: str) -> DataFrame:

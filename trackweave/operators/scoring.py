@@ -61,12 +61,17 @@ def track_scores(pairs: DataFrame, least: float = 0.5, weights: dict[str, float]
 
     The score is 1 less the weighted mean of the penalties that apply. Equal ISRCs count more than all else.
     """
-    p = distances(pairs, {"d_title": ("title", "track_name"), "d_artist": ("artist", "artist_name"), "d_album": ("album_hint", "collection_name"), "d_single": ("title", "c_base")})
     hint = F.col("album_hint")
     a, b = F.col("q_core"), F.col("c_core")
     cut = F.when((b != "") & (F.length(b) < F.length(a)) & F.startswith(a, b), 1 - F.length(b) / F.length(a)).otherwise(0.0)
     contained = (F.col("q_artist") != "") & F.contains("c_artist", "q_artist")
-    p = p.withColumns({"cut": cut, "d_artist": F.when(contained, 0.0).otherwise(F.col("d_artist"))}).withColumn("eff", clamp(F.col("d_title") + 0.3 * F.col("cut")))
+    by_id = (F.col("isrc") != "") & (F.upper("isrc") == F.upper("cand_isrc"))
+    p = distances(pairs, {"d_title": ("title", "track_name")}).withColumn("cut", cut).withColumn("eff", clamp(F.col("d_title") + 0.3 * F.col("cut")))
+    # pairs that the title rejects need no other distance: theirs are of nulls
+    open_ = by_id | ((F.col("cut") <= TRUNCATION_REJECT) & (F.col("eff") <= TITLE_REJECT))
+    p = p.withColumns({"x_artist": F.when(open_ & ~contained, F.col("artist")), "x_hint": F.when(open_, hint), "x_title": F.when(open_, F.col("title"))})
+    p = distances(p, {"d_artist": ("x_artist", "artist_name"), "d_album": ("x_hint", "collection_name"), "d_single": ("x_title", "c_base")})
+    p = p.withColumn("d_artist", F.when(contained, 0.0).otherwise(F.col("d_artist"))).drop("x_artist", "x_hint", "x_title")
     cut, eff, d_artist = F.col("cut"), F.col("eff"), F.col("d_artist")
     asks_artist = (F.col("artist") != "") & ~F.col("c_various")
     single = F.col("collection_type").isin("Single", "EP") | F.col("c_single")
@@ -74,7 +79,6 @@ def track_scores(pairs: DataFrame, least: float = 0.5, weights: dict[str, float]
     from_album = (hint != "") & ~F.col("q_single")
     hint_words, cand_words = F.col("q_words"), F.col("c_words")
     some_words = (F.size(hint_words) > 0) | (F.size(cand_words) > 0)
-    by_id = (F.col("isrc") != "") & (F.upper("isrc") == F.upper("cand_isrc"))
     other = F.when(eponymous & ~from_album, F.lit(0)).when(single & ~from_album, F.lit(1)).when(from_album & ~single, F.lit(2)).otherwise(F.lit(3))
     penalties: dict[str, tuple[Column, Column]] = {
         "track_title": (F.lit(True), eff),

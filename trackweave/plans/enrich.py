@@ -25,9 +25,7 @@ def enrich(raw: DataFrame, tracks: DataFrame, albums: DataFrame, providers: list
     seed = cut(seeds(keep_first(raw, "video_id", "input_pos")))
     asked = seed.select(F.col("input_pos").alias("query_id"), "title", "artist", F.col("album").alias("album_hint"), "duration_ms", "isrc")
     local = cut(match_records(asked, tracks, albums).withColumnRenamed("query_id", "input_pos").drop("score"))
-    base = seed
-    for c in [c for c in local.columns if c not in seed.columns]:
-        base = base.withColumn(c, F.lit(None).cast(dict(local.dtypes)[c]))
+    base = seed.withColumns({c: F.lit(None).cast(kind) for c, kind in local.dtypes if c not in seed.columns})
     hit = merge_records(base, local, "input_pos", overwrite=local.columns).join(local.select("input_pos"), "input_pos", "left_semi")
     rest = base.join(local.select("input_pos"), "input_pos", "left_anti")
     if providers:

@@ -69,7 +69,7 @@ def matched(requests: DataFrame, tracks: DataFrame, albums: DataFrame, accept: f
 
 def matched_by_isrc(asked: DataFrame, tracks: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """Fallback for prepared requests: tracks of the same ISRC, if the titles agree; ties to the smallest id."""
-    rows = asked.filter("isrc <> ''").join(tracks.select("track_id", "track_name", F.upper("isrc").alias("isrc")), "isrc").withColumn("name", T.normalize(F.col("track_name")))
+    rows = asked.filter("isrc <> ''").join(tracks.select("track_id", "track_name", F.upper("isrc").alias("isrc"), T.normalize(F.col("track_name")).alias("name")), "isrc")
     rows = distances(rows, {"likeness": ("title", "name")}, D.title_similarity)
     wanted = (F.col("has_version") & ~T.has_version_tag(F.col("track_name"))).cast("int")
     best = first_of(rows, ["query_id"], [wanted, F.desc("likeness"), F.col("track_id")])
@@ -78,5 +78,4 @@ def matched_by_isrc(asked: DataFrame, tracks: DataFrame, accept: float = ACCEPT)
 
 def match_records(requests: DataFrame, tracks: DataFrame, albums: DataFrame) -> DataFrame:
     """Canonical records of the matches, with query_id and score."""
-    hits = matched(requests, tracks, albums)
-    return from_catalog(hits.join(tracks, "track_id").select("query_id", *[c for c in tracks.columns])).join(hits.select("query_id", "score"), "query_id")
+    return from_catalog(matched(requests, tracks, albums).join(tracks, "track_id"))

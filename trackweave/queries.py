@@ -17,6 +17,7 @@ from .functions import distance as D
 from .functions import edition as E
 from .functions import text as T
 from .operators import candidates as C
+from .operators import lookups as U
 from .operators import mappers as M
 from .operators import merge as G
 from .operators import releases as L
@@ -154,12 +155,24 @@ def edition_flags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.has_version_tag(s).alias("version"), T.is_deluxe(s).alias("deluxe"), T.has_album_suffix(s).alias("suffix"), T.is_live(s).alias("live"))
 
 
-@query()
+_EDITION_SQL = T.EDITIONS.replace(r"(?=\s*[\)\]]|$)", r"(?:\s*[\)\]]|$)").replace("'", "''")
+
+
+@query(rf"""WITH t AS (SELECT p_partkey, concat(p_name, CASE p_partkey % 5 WHEN 0 THEN ' (Deluxe Edition)' WHEN 1 THEN ' - Remix' WHEN 2 THEN ' Vol. 2' WHEN 3 THEN ' (Radio Edit)' ELSE '' END) AS name FROM part),
+            f AS (SELECT p_partkey, list_sort(list_distinct([lower(regexp_replace(x, '\s*[\)\]]$', '')) for x in regexp_extract_all(name, '(?i){_EDITION_SQL}')])) AS tokens FROM t)
+            SELECT p_partkey, array_to_string(tokens, '|') AS tokens FROM f""")
 def edition_tokens(spark, sf_dir):
     name = F.concat("p_name", F.element_at(F.array(*map(F.lit, (" (Deluxe Edition)", " - Remix", " Vol. 2", " (Radio Edit)", ""))), (F.col("p_partkey") % 5 + 1).cast("int")))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.edition_tokens(name), "|").alias("tokens"))
 
 
+@query(rf"""WITH f AS (SELECT doc_id, list_sort(list_distinct([lower(regexp_replace(x, '\s*[\)\]]$', '')) for x in regexp_extract_all(coalesce(text, ''), '(?i){_EDITION_SQL}')])) AS tokens FROM documents)
+            SELECT doc_id, CAST(len(tokens) AS INTEGER) AS n, md5(array_to_string(tokens, '|')) AS tokens FROM f""")
+def document_editions(spark, sf_dir):
+    """Edition words of whole documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.edition_tokens(F.col("text")).alias("found")).select("doc_id", F.size("found").alias("n"), F.md5(F.array_join("found", "|").cast("binary")).alias("tokens"))
+
+
 @query(r"""SELECT doc_id, regexp_matches(lower(coalesce(text, '')), 'compilation|hits|playlist|best of|greatest|power hits|dj mix|dj-mix|mixed by|the collection|essential|ultimate|now that''s|super hits|radio hits|summer music|beach party|poolside|party mix|workout|chill|lounge|relaxing|\bdj[\s\-]?mix\b|\bmixed\b|\bselect\b|\bnow\s+that') AS compilation FROM documents""")
 def compilation_flag(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.is_compilation_name(F.col("text")).alias("compilation"))
@@ -188,9 +201,17 @@ def primary_artist(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", T.primary_artist(_credit()).alias("artist"))
 
 
-@query()
+#: Endings of titles, and what is left of them.
+_ENDINGS = {
+    " (Official Video)": "", " [Lyrics] [HD]": "", " feat. Guest": "", " (Live at Home)": "", " [Big Records]": "", "": "", " ((Live))": "", " [Official Music Video 4K]": "", " (Official Video HD)": "", " (Remix)": " (Remix)",
+    " - Official Audio": "", " ft. A & B (Club Mix)": " (Club Mix)", " (Prod. X) (1080p)": "", " (Video Killed It)": " (Video Killed It)",
+}
+
+
+@query(f"""WITH t AS (SELECT *, CASE p_partkey % {len(_ENDINGS)} {" ".join(f"WHEN {k} THEN '{left}'" for k, left in enumerate(_ENDINGS.values()))} END AS rest FROM part)
+           SELECT p_partkey, p_name || rest AS title, lower(p_name || rest) AS normal, lower(p_brand) AS album FROM t""")
 def clean_title(spark, sf_dir):
-    extra = F.element_at(F.array(*map(F.lit, (" (Official Video)", " [Lyrics] [HD]", " feat. Guest", " (Live at Home)", " [Big Records]", ""))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    extra = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("p_partkey") % len(_ENDINGS) + 1).cast("int"))
     title = F.concat("p_brand", F.lit(" - "), "p_name", extra)
     return table(spark, sf_dir, "part").select("p_partkey", T.clean_title(title, F.col("p_brand")).alias("title"), T.clean_text(title, "title", F.col("p_brand")).alias("normal"), T.clean_text(title, "album").alias("album"))
 
@@ -355,7 +376,15 @@ def swap_equivalent(spark, sf_dir):
     return best.join(alt, "brand", "left").select(F.col("brand").alias("p_brand"), F.coalesce("alt", "own").alias("p_partkey"))
 
 
-@query()
+@query("""WITH RECURSIVE rows AS (SELECT p_brand, p_partkey, p_retailprice / 2000 AS score, p_size % 3 AS overlap, length(p_name) AS size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part),
+           fold AS (
+             SELECT p_brand, p_partkey, score, overlap, size, n FROM rows WHERE n = 1
+             UNION ALL
+             SELECT f.p_brand, CASE WHEN better THEN r_key ELSE f.p_partkey END, CASE WHEN better THEN r_score ELSE f.score END, CASE WHEN better THEN r_overlap ELSE f.overlap END, CASE WHEN better THEN r_size ELSE f.size END, f.n + 1
+             FROM (SELECT f.*, r.p_partkey AS r_key, r.score AS r_score, r.overlap AS r_overlap, r.size AS r_size,
+                          r.score > f.score + 0.05 OR (abs(r.score - f.score) <= 0.05 AND (r.overlap > f.overlap OR (r.overlap = f.overlap AND r.size > f.size))) AS better
+                   FROM fold f JOIN rows r ON r.p_brand = f.p_brand AND r.n = f.n + 1) f)
+           SELECT p_brand, p_partkey FROM fold QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC) = 1""")
 def tolerance_argmax(spark, sf_dir):
     part = table(spark, sf_dir, "part").withColumn("score", F.col("p_retailprice") / 2000).withColumn("overlap", F.col("p_size") % 3)
     return B.tolerant_best(part, "p_brand", "p_partkey", "score", "overlap", "p_name")
@@ -449,13 +478,11 @@ def top_tag(spark, sf_dir):
     return tags.select("user_id", B.top_tag(F.col("tags")).alias("top"))
 
 
-@query("""SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_name = b.p_name AND abs(CAST(round(a.p_retailprice * 1000) AS INTEGER) - CAST(round(b.p_retailprice * 1000) AS INTEGER)) <= 5000""")
+@query("""WITH t AS (SELECT p_partkey, p_name, CAST(round(p_retailprice * 1000) AS INTEGER) AS ms FROM part)
+          SELECT a.p_partkey AS track_id, count(*) - 1 AS partners FROM t a JOIN t b ON a.p_name = b.p_name AND abs(a.ms - b.ms) <= 5000 GROUP BY a.p_partkey""")
 def duration_band_join(spark, sf_dir):
-    own = tracks(spark, sf_dir).select("track_id", "track_name", "track_time_millis")
-    width = 5000
-    left = own.select(F.col("track_id").alias("a"), "track_name", F.col("track_time_millis").alias("ms_a"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("track_time_millis") / width) + d)).alias("bin"))
-    right = own.select(F.col("track_id").alias("b"), "track_name", F.col("track_time_millis").alias("ms_b"), F.floor(F.col("track_time_millis") / width).alias("bin"))
-    return left.join(right, ["track_name", "bin"]).filter((F.col("a") < F.col("b")) & G.durations_agree(F.col("ms_a"), F.col("ms_b"), width)).select("a", "b")
+    """How many other tracks of the same name have an agreeing duration."""
+    return U.band_partners(tracks(spark, sf_dir), "track_name", "track_time_millis", 5000).select("track_id", "partners")
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag = 'A' AS isrc, 1 - l_discount * 5 AS score FROM lineitem)
@@ -497,10 +524,12 @@ def exists_candidate(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(good, "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON upper(concat(a.p_name, a.p_brand)) = upper(concat(b.p_name, b.p_brand)) AND a.p_partkey < b.p_partkey")
+@query("""WITH c AS (SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN '' ELSE upper(concat(p_name, p_brand)) END AS code FROM part)
+          SELECT p_partkey, CASE WHEN code = '' THEN p_partkey ELSE min(p_partkey) OVER (PARTITION BY code) END AS first, CASE WHEN code = '' THEN 1 ELSE count(*) OVER (PARTITION BY code) END AS n FROM c""")
 def isrc_exact_join(spark, sf_dir):
-    own = table(spark, sf_dir, "part").select("p_partkey", F.upper(F.concat("p_name", "p_brand")).alias("isrc"))
-    return own.withColumnRenamed("p_partkey", "a").join(own.withColumnRenamed("p_partkey", "b"), "isrc").filter("a < b").select("a", "b")
+    """Tracks of equal codes, as classes and membership."""
+    code = F.when(F.col("p_partkey") % 17 != 0, F.upper(F.concat("p_name", "p_brand"))).otherwise("")
+    return U.code_classes(table(spark, sf_dir, "part"), code, "p_partkey")
 
 
 @query("""SELECT n_name, r_name, CASE WHEN upper(substr(n_name, 1, 2)) IN ('US','GB','CA','AU','NZ','IE','FR','DE','IT','ES','PT','NL','BE','CH','AT','SE','NO','DK','FI','PL','RU','GR','TR','JP','KR','CN','TW','HK','IN','SG','MY','ID','TH','PH','ZA','MX','BR','AR','CL','CO','AE','SA','IL')
