@@ -24,8 +24,8 @@ from .common import LOWER, documents, held_out, utf8, written
 TRAIN_ROWS, TRAIN_BYTES = 16384, 1 << 17
 #: Vocabulary of words and of shapes, dimensions of a vector, non-zeros of an index vector, and neighbours on each side.
 WORDS, SHAPES, DIMENSIONS, NON_ZEROS, REACH = 16384, 1024, 48, 4, 2
-#: Partial sums of context vectors.
-PARTS = 8
+#: Partial sums of context vectors, and pairs of neighbours that are summed at once.
+PARTS, PAIRS = 8, 1 << 15
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 30, 256, 3e-3, 1e-4, 7
 #: Documents of a lower score are predicted to have label 0.
 THRESHOLD = 0.3
@@ -68,7 +68,9 @@ def contexts(ids: np.ndarray, size: int, vectors: np.ndarray) -> np.ndarray:
     for step in range(1, REACH + 1):
         for a, b in ((ids[:-step], ids[step:]), (ids[step:], ids[:-step])):
             pairs, n = np.unique((a * size + b)[(a >= 0) & (b >= 0)], return_counts=True)
-            np.add.at(out, pairs // size, vectors[pairs % size] * n[:, None])
+            for k in range(0, len(pairs), PAIRS):  # each pair's vector is a row, so few at once
+                part = pairs[k : k + PAIRS]
+                np.add.at(out, part // size, vectors[part % size] * n[k : k + PAIRS, None])
     return out
 
 
