@@ -277,3 +277,20 @@ def test_status(spark):
     df = spark.createDataFrame(rows, "k int, n int, e string, p string, why string")
     got = {r.k: tuple(r)[1:] for r in H.folded_status(df, "k", ["n"], F.col("e"), F.col("p"), F.col("why")).collect()}
     assert got == {1: ("done", "b", "b", None, ["a"], 2), 2: ("downloading", "y", None, "broken", [], 2), 3: ("downloading", None, None, None, [], 1)}
+
+
+def test_settings(spark):
+    from trackweave.functions.settings import Settings
+
+    assert Settings.load(spark) == Settings()
+    names = {"trackweave.prefer_album": "Yes", "trackweave.threshold": "0.75", "trackweave.fallback_countries": " IT, ,FR,", "trackweave.candidates": "10", "trackweave.country": "DE"}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        assert Settings.load(spark) == Settings("DE", ("IT", "FR"), 0.75, True, True, 10)
+        spark.conf.set("trackweave.candidates", "many")
+        with pytest.raises(ValueError):
+            Settings.load(spark)
+    finally:
+        for k in names:
+            spark.conf.unset(k)
