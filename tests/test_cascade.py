@@ -151,3 +151,19 @@ def test_remarks_of_several_words(spark, title, want):
 def test_edition_words_of_a_long_run_take_little_time(spark):
     text = "word " * 40_000 + "radio edit"
     assert spark.createDataFrame([(text,)], "t string").select(T.edition_tokens(F.col("t")).alias("x")).first().x != []
+
+
+def test_catalog_search(spark):
+    from trackweave.plans.catalog_search import search
+
+    track = "track_id long, track_name string, artist_name string, artist_id long, collection_artist_name string, collection_name string, collection_id long, track_time_millis int, track_explicitness string"
+    tracks = spark.createDataFrame([
+        (1, "Midnight Song", "The Band", 5, "", "Blue Nights", 10, 200_000, "notExplicit"), (2, "Midnight Song", "The Band", 5, "", "Midnight Song - Single", 11, 200_000, "notExplicit"), (3, "Morning Song", "The Band", 5, "", "Blue Nights", 10, 180_000, "notExplicit"),
+        (4, "Midnight Song", "Others", 6, "", "Red Days", 12, 200_000, "notExplicit"), (5, "Evening", "The Band", 5, "", "Late", 13, 150_000, "explicit"),
+    ], track)
+    albums = spark.createDataFrame([(10, "Blue Nights", "The Band", "Album", 12), (11, "Midnight Song - Single", "The Band", "Single", 1), (12, "Red Days", "Others", "Album", 9), (13, "Late", "The Band", "Album", 8)], "collection_id long, collection_name string, artist_name string, collection_type string, track_count int")
+    asked = spark.createDataFrame([
+        (1, "Midnight Song (Official Video)", "The Band", "Blue Nights", 200_000), (2, "Midnight Song", "The Band", "", 200_000), (3, "The Band - Midnight Song", "Some Records", "", None), (4, "Nothing like it", "The Band", "", None), (5, "Eveningg", "The Band", None, None), (6, "  ", "x", "", None),
+    ], "query_id long, title string, artist string, album_hint string, duration_ms int")
+    got = {r.query_id: (r.row_id, r.strategy) for r in search(asked, tracks, albums).collect()}
+    assert got == {1: (1, "album"), 2: (2, "title"), 3: (2, "title"), 5: (5, "title")}
