@@ -145,11 +145,8 @@ def release_kind(spark, sf_dir):
     return table(spark, sf_dir, "part").withColumn("edition", edition).select("p_partkey", "edition.kind", "edition.verified")
 
 
-@query(r"""WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS s FROM documents)
-           SELECT doc_id, regexp_matches(s, '[\(\[]\s*(remix|re-?mix|radio\s+edit|extended|vip|club\s+mix|dub\s+mix|original\s+mix|acoustic|live|demo|instrumental)\b') AS version,
-                  regexp_matches(s, '\b(deluxe|expanded|super\s+deluxe|anniversary|remastered|special\s+edition|bonus\s+track)\b') AS deluxe,
-                  regexp_matches(s, '\s*-\s*(single|ep|remix|edit|version|vip|mix|bootleg)\s*$') AS suffix,
-                  regexp_matches(s, '\blive\b') AS live FROM t""")
+@query(rf"""WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS s FROM documents)
+            SELECT doc_id, regexp_matches(s, '{T.VERSION_TAG}') AS version, regexp_matches(s, '{T.DELUXE}') AS deluxe, regexp_matches(s, '{T.ALBUM_SUFFIX}') AS suffix, regexp_matches(s, '\blive\b') AS live FROM t""")
 def edition_flags(spark, sf_dir):
     s = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", T.has_version_tag(s).alias("version"), T.is_deluxe(s).alias("deluxe"), T.has_album_suffix(s).alias("suffix"), T.is_live(s).alias("live"))
@@ -173,7 +170,10 @@ def document_editions(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.edition_tokens(F.col("text")).alias("found")).select("doc_id", F.size("found").alias("n"), F.md5(F.array_join("found", "|").cast("binary")).alias("tokens"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(lower(coalesce(text, '')), 'compilation|hits|playlist|best of|greatest|power hits|dj mix|dj-mix|mixed by|the collection|essential|ultimate|now that''s|super hits|radio hits|summer music|beach party|poolside|party mix|workout|chill|lounge|relaxing|\bdj[\s\-]?mix\b|\bmixed\b|\bselect\b|\bnow\s+that') AS compilation FROM documents""")
+_COMPILATION = "|".join(w.replace(".", r"\.").replace("'", "''") for w in T.COMPILATIONS) + "|" + T.COMPILATION_WORDS
+
+
+@query(rf"""SELECT doc_id, regexp_matches(lower(coalesce(text, '')), '{_COMPILATION}') AS compilation FROM documents""")
 def compilation_flag(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.is_compilation_name(F.col("text")).alias("compilation"))
 

@@ -177,8 +177,8 @@ def typed_settings(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", C.as_flag(flag, True).alias("flag"), C.as_number(number, "int", 3).alias("number"), F.array_join(C.as_list(names, "GB,CA"), "|").alias("list"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(lower(coalesce(text, '')), '\b(?:remix(?:ed)?|radio\s+edit|extended\s+mix|club\s+mix|dub\s+mix|original\s+mix|vip\s+mix)\b') AS remix, regexp_matches(lower(coalesce(text, '')), '\bacoustic\b') AS acoustic,
-                  regexp_matches(lower(coalesce(text, '')), '\b(?:record|records|music|recording|recordings|entertainment|audio|release|releases|group|label|official|vevo|tv)\b') AS label FROM documents""")
+@query(rf"""SELECT doc_id, regexp_matches(lower(coalesce(text, '')), '{T.REMIX}') AS remix, regexp_matches(lower(coalesce(text, '')), '\bacoustic\b') AS acoustic,
+                  regexp_matches(lower(coalesce(text, '')), '\b{T.any_of(T.CHANNELS)}\b') AS label FROM documents""")
 def version_flags(spark, sf_dir):
     s = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", T.is_remix(s).alias("remix"), T.is_acoustic(s).alias("acoustic"), T.looks_like_label(s).alias("label"))
