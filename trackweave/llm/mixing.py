@@ -41,7 +41,8 @@ def targets(sizes: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, cap: in
     Sources are numbered by code point, null last; number i has schedule i modulo the number of schedules.
     The targets share the sum of all sizes by the schedules' integrals, but none is above ``cap`` times its
     source's size: the excess goes to the others by weight. That is a water level, the largest of the levels
-    found when the k sources with the lowest cap for their weight are full. No sources: no rows.
+    found when the k sources with the lowest cap for their weight are full. No sources: no rows. Sources, one row each, are
+    sorted in one task: meant for up to some millions of them.
     """
     weight = F.element_at(F.array(*[F.lit(float(integral(s))) for s in schedules]), F.col("class") + 1)
     by = W.orderBy("ratio", "rank")
