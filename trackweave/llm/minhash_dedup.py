@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, documents, temporary_tables, utf8, written
+from .common import LOWER, documents, temporary_tables, thrifty, utf8, written
 from .components import roots
 
 #: Bands and rows of a band. Sets of similarity 0.8 share a bucket with a chance of 1 - (1 - 0.8**5)**25 = 0.99995.
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 bands.append(minhash.band_keys(minhash.signature(s)) if real else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "bands"])
 
-    return docs.mapInArrow(each, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
+    return docs.mapInArrow(thrifty(each), "doc_id long, n_shingles long, set_hash binary, bands array<long>")
 
 
 def packed(texts: DataFrame, width: int) -> DataFrame:
@@ -118,7 +118,7 @@ def packed(texts: DataFrame, width: int) -> DataFrame:
         for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, width).tobytes() for t in utf8(b.column(1))], pa.binary())], ["doc_id", "hashes"])
 
-    return texts.mapInArrow(each, "doc_id long, hashes binary")
+    return texts.mapInArrow(thrifty(each), "doc_id long, hashes binary")
 
 
 def block_pairs(left: list[dict], right: list[dict], percent: int) -> list[tuple[int, int]]:
@@ -176,7 +176,7 @@ def rest_pairs(rest: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
                 found = [(min(p), max(p)) for p in block_pairs(b.column(0)[k].as_py(), b.column(1)[k].as_py(), percent)]
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
-    return both.select("left", "right").mapInArrow(each, "a long, b long").distinct()
+    return both.select("left", "right").mapInArrow(thrifty(each), "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -196,7 +196,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(each, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(thrifty(each), "a long, b long")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, documents, held_out, utf8, written
+from .common import LOWER, documents, held_out, thrifty, utf8, written
 
 #: Bounds of the training sample: labelled documents, and bytes of a document to be sampled.
 TRAIN_ROWS, TRAIN_BYTES = 16384, 1 << 17
@@ -163,7 +163,7 @@ def _vocabulary(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
                 found.update((1, s) for s in shapes_of(t, words))
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([t for _, t in found], pa.binary()), pa.array(list(found.values()), pa.int64())], ["kind", "token", "n"])
 
-    counts = written(sample.select("text").mapInArrow(count, "kind int, token binary, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")), "quality-counts")
+    counts = written(sample.select("text").mapInArrow(thrifty(count), "kind int, token binary, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")), "quality-counts")
     top = lambda kind, most: [bytes(r.token) for r in counts.filter((F.col("kind") == kind) & (F.col("n") > 1)).orderBy(F.desc("n"), "token").limit(most).select("token").collect()]
     return top(0, WORDS), top(1, SHAPES)
 
@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             at = np.flatnonzero(np.abs(sums[k]).sum(1))
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array([v.tobytes() for v in sums[k][at].astype(np.float32)], pa.binary())], ["kind", "token", "sums"])
 
-    rows = sample.select("text").mapInArrow(summed, "kind int, token int, sums binary").toArrow()  # PARTS times the vocabulary at most
+    rows = sample.select("text").mapInArrow(thrifty(summed), "kind int, token int, sums binary").toArrow()  # PARTS times the vocabulary at most
     vectors = []
     for k, tokens in enumerate((words, shapes)):
         context = np.zeros((len(tokens) + 1, DIMENSIONS))
@@ -230,7 +230,7 @@ def featured(docs: DataFrame, data: dict, keep: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([vectors.pooled(t).tobytes() for t in utf8(b.column(1))], pa.binary())], [keep, "features"])
 
-    return docs.mapInArrow(each, f"{keep} int, features binary")
+    return docs.mapInArrow(thrifty(each), f"{keep} int, features binary")
 
 
 def scored(docs: DataFrame, data: dict | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -258,7 +258,7 @@ def scored(docs: DataFrame, data: dict | None, doc_id: str = "doc_id", text: str
 
     own = docs.select(*rest)
     schema = own.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
-    return own.mapInArrow(each, schema)
+    return own.mapInArrow(thrifty(each), schema)
 
 
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, thrifty
 
 #: The vocabulary of the queries.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -305,7 +305,7 @@ def blocked(docs: DataFrame, vocabulary: Vocabulary, payload: bool) -> DataFrame
         if held_rows:
             yield from ended(held_rows)
 
-    return docs.mapInArrow(each, f"block long NOT NULL, number int NOT NULL, {'payload binary' if payload else 'unit string'} NOT NULL")
+    return docs.mapInArrow(thrifty(each), f"block long NOT NULL, number int NOT NULL, {'payload binary' if payload else 'unit string'} NOT NULL")
 
 
 def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
@@ -493,7 +493,7 @@ def gathered(coded: DataFrame, code: str) -> DataFrame:
         if n:
             yield out()
 
-    return coded.select("block", "number", "ids").mapInArrow(each, "block long, number int, payload binary")
+    return coded.select("block", "number", "ids").mapInArrow(thrifty(each), "block long, number int, payload binary")
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -556,7 +556,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text
         if tables:
             yield from ended(found, tables)
 
-    return both.repartition("block").sortWithinPartitions("block", "number").mapInArrow(each, "doc_id long, ids array<int>, n_tokens long")
+    return both.repartition("block").sortWithinPartitions("block", "number").mapInArrow(thrifty(each), "doc_id long, ids array<int>, n_tokens long")
 
 
 def decoded_text(vocabulary: Vocabulary, ids: Column) -> Column:
