@@ -29,3 +29,9 @@ def test_exported_and_tracks_of(spark):
     assert L.exported(df, "id").first().json == '{"id":1,"name":null}'
     albums = spark.createDataFrame([(2, "other")], "id int, album string")
     assert [tuple(r) for r in R.tracks_of(df.select("id", "name"), "id", 1, albums).collect()] == [(1, None, None)]
+
+
+def test_internals(spark):
+    df = spark.createDataFrame([(1, "a", "x")], "k int, n string, _own string")
+    out = L.without_internals(L.with_fields(df, {"n": F.lit(5), "z": F.lit(1), "_own": F.lit("y")}))
+    assert out.columns == ["k", "n"] and out.first().n == "5"

@@ -100,6 +100,16 @@ def accepted(score: Column, title: Column, same_title: Column, asks_artist: Colu
     return ((title >= TITLE) | same_title) & by_artist & ((score >= HIGH) | by_album)
 
 
+def with_valid_candidate(pairs: DataFrame, title: float = TITLE, artist: float = ARTIST) -> DataFrame:
+    """(query_id) of the requests that have a result of like title and, if they name an artist, like artist. Pairs are those of asked_side and item_side.
+
+    Titles that the bound of their lengths and letters rules out are not compared.
+    """
+    bound = D.ratio_bound(F.col("a_profile"), F.col("i_profile"))
+    known = S.distances(pairs.filter(bound >= D.LEAST_RATIO), {"t_": ("a_core", "i_core"), "s_": ("artist", "i_artist")}, D.title_similarity)
+    return known.filter((F.col("t_") >= title) & ((F.col("artist") == "") | (F.col("s_") >= artist))).select("query_id").distinct()
+
+
 def finally_kept(scored: DataFrame) -> DataFrame:
     """Scored pairs of prefiltered that pass ``accepted``."""
     known = S.distances(scored, {"title_likeness": ("a_plain", "i_core"), "artist_likeness": ("artist", "i_artist"), "owner_likeness": ("artist", "i_owner")}, D.title_similarity)

@@ -57,3 +57,14 @@ def trusted_isrc(*sources: Column) -> Column:
 def least_score(confidence: Column) -> Column:
     """The score that a catalog match needs, which is higher where the recording is of low confidence."""
     return F.when(confidence == "LOW", 0.70).otherwise(0.55)
+
+
+def without_internals(df: DataFrame) -> DataFrame:
+    """``df`` without its internal columns, whose names begin with an underscore."""
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+
+def with_fields(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``df`` with fields set that it has, in their types; names that it lacks are passed over."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({n: c.cast(kinds[n]) for n, c in values.items() if n in kinds})

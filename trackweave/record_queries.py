@@ -11,6 +11,7 @@ from .functions import settings as C
 from .functions import text as T
 from .functions.schemas import RAW, RECORDING, struct_of
 from .operators import mappers as M
+from .operators import releases as L
 from .operators import scoring as S
 from .operators import store as K
 from .queries import query, table
@@ -182,3 +183,10 @@ def typed_settings(spark, sf_dir):
 def version_flags(spark, sf_dir):
     s = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", T.is_remix(s).alias("remix"), T.is_acoustic(s).alias("acoustic"), T.looks_like_label(s).alias("label"))
+
+
+@query("SELECT c_custkey, 'set' AS c_name, CAST(c_custkey % 7 AS INTEGER) AS c_nationkey FROM customer")
+def cleared_records(spark, sf_dir):
+    """Records without internal columns, with fields set by name."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", F.lit("x").alias("_kept_suffix"), F.lit(1.0).alias("_score"))
+    return L.without_internals(L.with_fields(rows, {"c_name": F.lit("set"), "c_nationkey": F.col("c_custkey") % 7, "other": F.lit(1)}))

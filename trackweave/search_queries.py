@@ -147,6 +147,13 @@ def accepted_items(spark, sf_dir):
     return V.finally_kept(known.withColumn("hint_likeness", likeness)).select("query_id", "row_id")
 
 
+@query(rf"""WITH RECURSIVE {_PAIRS}, {Q.likeness("SELECT title AS a, name AS b FROM pairs UNION SELECT lower(artist), lower(artist_name) FROM pairs")}
+  SELECT DISTINCT query_id FROM pairs JOIN likeness t ON t.a = title AND t.b = name JOIN likeness s ON s.a = lower(artist) AND s.b = lower(artist_name) WHERE t.sim >= 0.75 AND s.sim >= 0.85""")
+def valid_candidates(spark, sf_dir):
+    """Requests that have a result of like title and artist."""
+    return V.with_valid_candidate(_pairs(spark, sf_dir))
+
+
 @query("SELECT doc_id, contains(lower(coalesce(text, '')), 'live') OR contains(lower(coalesce(source, '')), 'live') AS live FROM documents")
 def live_items(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", V.is_live_item(F.col("text"), F.col("source")).alias("live"))
