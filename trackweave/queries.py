@@ -576,6 +576,15 @@ def tag_map_rows(spark, sf_dir):
     return M.tag_rows(_records(spark, sf_dir), "itunes_track_id").groupBy("atom").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH t AS (SELECT CAST(p_partkey AS VARCHAR) AS k, * FROM part)
+          SELECT k, '\xa9nam' AS atom, p_name AS value FROM t UNION ALL SELECT k, '\xa9ART', p_brand FROM t UNION ALL SELECT k, 'aART', p_brand FROM t UNION ALL SELECT k, '\xa9alb', p_type FROM t UNION ALL SELECT k, '\xa9isr', upper(p_name) FROM t
+          UNION ALL SELECT k, 'trkn', p_size || '/0' FROM t WHERE p_size > 0 UNION ALL SELECT k, 'disk', '1/1' FROM t UNION ALL SELECT k, 'rtng', '4' FROM t UNION ALL SELECT k, 'cmID', k FROM t UNION ALL SELECT k, 'sonm', p_name FROM t""")
+def tag_values(spark, sf_dir):
+    """Values of tags, row by row."""
+    atoms = ("\xa9nam", "\xa9ART", "aART", "\xa9alb", "\xa9isr", "trkn", "disk", "rtng", "cmID", "sonm")
+    return M.tag_rows(_records(spark, sf_dir), "itunes_track_id").filter(F.col("atom").isin(*atoms)).select(F.col("itunes_track_id").alias("k"), "atom", "value")
+
+
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS track_id, true AS matched, p_brand AS album_artist, false AS compilation, p_name AS sort_title FROM part""")
 def matched_flag(spark, sf_dir):
     return _records(spark, sf_dir).select(F.col("itunes_track_id").alias("track_id"), "matched", "album_artist", "compilation", "sort_title")
