@@ -56,12 +56,12 @@ def tag_retried(requests: DataFrame, wants_tag: Column, search: Callable[[DataFr
     return out
 
 
-def best_release(releases: DataFrame, key: str, title: Column, wanted_title: Column, likeness: Column, asks_album: Column, order: Sequence[Column]) -> DataFrame:
+def best_release(releases: DataFrame, key: str | Sequence[str], title: Column, wanted_title: Column, likeness: Column, asks_album: Column, order: Sequence[Column]) -> DataFrame:
     """One release of each recording: alternative versions count only if the wanted title is one, or if there are no others; of the rest the one most like
     the album that is asked for, or the first by ``order`` (total) if none is."""
     other = T.is_alternative(T.text_or_empty(title)) & ~T.is_alternative(T.text_or_empty(wanted_title))
     rank = F.when(asks_album, F.coalesce(likeness, F.lit(0.0))).otherwise(0.0)
-    return first_of(releases.withColumns({"alternative_": other.cast("int"), "likeness_": rank}), [key], [F.col("alternative_"), F.desc("likeness_"), *order]).drop("alternative_", "likeness_")
+    return first_of(releases.withColumns({"alternative_": other.cast("int"), "likeness_": rank}), [key] if isinstance(key, str) else key, [F.col("alternative_"), F.desc("likeness_"), *order]).drop("alternative_", "likeness_")
 
 
 def recording_confidence(score: Column, isrc: Column, isrc_hint: Column, wanted_ms: Column, found_ms: Column, trusted: Column) -> Column:
@@ -78,21 +78,26 @@ def blended_confidence(title: Column, artist: Column) -> Column:
     return F.when(blend >= 0.90, "high").when(blend >= 0.75, "good").when(blend >= 0.55, "low").otherwise("none")
 
 
-def recording_result(best: DataFrame, details: DataFrame, releases: DataFrame) -> DataFrame:
+def recording_result(best: DataFrame, details: DataFrame, releases: DataFrame, by: Sequence[str] = ("query_id", "recording_id")) -> DataFrame:
     """What a resolved request is: query_id, recording_id, score, isrc, confidence, release_id, album_score, album_is_deluxe, title_has_tag.
 
-    ``best`` has query_id, recording_id, score, own_isrc, raw_title, album_hint (normal form), isrc_hint, duration_ms, trusted; ``details`` recording_id, isrc,
-    length_ms; ``releases`` recording_id, pos, release_id, release_title and ``likeness`` to the hint by query_id. Scores under LEAST_SCORE are misses.
+    ``best`` (a row of each request) has query_id, recording_id, score, own_isrc, raw_title, album_hint (normal form), isrc_hint, duration_ms, trusted; ``details``
+    recording_id, isrc, length_ms; ``releases`` pos, release_id, release_title and ``likeness`` to the hint. Both have the columns ``by``, which say whose releases
+    they are. Scores under LEAST_SCORE are misses.
+
+    The pick depends on ``by`` and on two conditions of the request only, so releases that many requests share are picked from once for all of them.
     """
     hint = T.text_or_empty(F.col("album_hint"))
     rows = best.filter(F.col("score") >= LEAST_SCORE).join(details.select("recording_id", F.col("isrc").alias("detail_isrc"), "length_ms"), "recording_id")
     isrc = F.coalesce(F.nullif(F.col("detail_isrc"), F.lit("")), F.col("own_isrc"), F.lit(""))
     rows = rows.withColumn("isrc", isrc)
     rows = rows.withColumn("confidence", recording_confidence(F.col("score"), F.col("isrc"), F.col("isrc_hint"), F.col("duration_ms"), F.col("length_ms"), F.col("trusted")))
-    pairs = rows.select("query_id", "raw_title", hint.alias("hint_"), "recording_id").join(releases, ["query_id", "recording_id"])
-    picked = best_release(pairs, "query_id", F.col("release_title"), F.col("raw_title"), F.col("likeness"), F.col("hint_") != "", [F.col("pos")])
-    picked = picked.select("query_id", "release_id", "release_title", F.when(F.col("hint_") != "", F.col("likeness")).otherwise(0.0).alias("album_score"))
-    out = rows.join(picked, "query_id", "left")
+    rows = rows.withColumns({"asks_": hint != "", "other_": T.is_alternative(T.text_or_empty(F.col("raw_title")))})
+    keys = [*by, "asks_", "other_"]
+    asked = rows.groupBy(*keys).agg(F.min("raw_title").alias("wanted_"))
+    picked = best_release(asked.join(releases.select(*by, "pos", "release_id", "release_title", "likeness"), [*by]), keys, F.col("release_title"), F.col("wanted_"), F.col("likeness"), F.col("asks_"), [F.col("pos")])
+    picked = written(picked.select(*keys, "release_id", "release_title", F.when(F.col("asks_"), F.col("likeness")).otherwise(0.0).alias("album_score")), "picked-releases")
+    out = rows.join(picked, keys, "left")
     return out.select(
         "query_id", "recording_id", "score", "isrc", "confidence", "release_id", F.coalesce("album_score", F.lit(0.0)).alias("album_score"),
         T.is_deluxe(F.col("release_title")).alias("album_is_deluxe"), T.has_version_tag(F.col("raw_title")).alias("title_has_tag"),
