@@ -9,9 +9,11 @@ from ..functions import distance as D
 from ..functions import text as T
 from ..functions.edition import release_edition
 from ..operators.candidates import tiered
+from ..operators.lookups import value_classes
 from ..operators.mappers import from_catalog
 from ..operators.scoring import candidate_side, distances, edition_likeness, edition_score, query_side, track_scores
 from ..operators.select_best import first_of
+from ..storage import written
 
 #: Least score of a candidate, and of a match that stands alone.
 LEAST, ACCEPT = 0.55, 0.7
@@ -34,14 +36,19 @@ def candidates(requests: DataFrame, tracks: DataFrame) -> DataFrame:
     return tiered(words, tracks, {"title_words": "track_name", "artist_words": "artist_name", "album_hint_words": "collection_name"}, "track_id")
 
 
-def scored(requests: DataFrame, tracks: DataFrame, albums: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (query_id, row_id) with base score and total: the base and the album's edition score."""
-    cand = candidate_side(tracks.select(F.col("track_id").alias("row_id"), "track_name", "artist_name", "collection_name", "track_time_millis", "collection_id", F.lit("").alias("cand_isrc"), F.lit("").alias("collection_type")))
+def scored(requests: DataFrame, classes: DataFrame, places: DataFrame, albums: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(query_id, row_id) with base score and total: the base and the album's edition score.
+
+    ``classes`` are distinct tracks (track_id and what the base score depends on), ``pairs`` has their ids; ``places`` (class_id, collection_id, row_id, n)
+    are the albums that each is on, with the first of its n rows there.
+    """
+    cand = candidate_side(classes.select(F.col("track_id").alias("row_id"), "track_name", "artist_name", "collection_name", "track_time_millis", F.lit("").alias("cand_isrc"), F.lit("").alias("collection_type")))
     cand = cand.withColumn("c_version", T.has_version_tag(F.col("track_name")))
     asked = query_side(requests.withColumn("isrc", F.lit("")))
     rows = pairs.join(asked, "query_id").join(cand, "row_id").filter(~F.col("has_version") | F.col("c_version"))
-    rows = track_scores(rows, LEAST).filter("score IS NOT NULL").select("query_id", "row_id", "collection_id", "score", "title", "album_hint", "q_words", "expects_short")
-    counts = tracks.groupBy("collection_id").agg(F.count(F.lit(1)).cast("int").alias("real_count"))
+    rows = track_scores(rows, LEAST).filter("score IS NOT NULL").select("query_id", F.col("row_id").alias("class_id"), "score", "title", "album_hint", "q_words", "expects_short")
+    rows = rows.join(places.filter("row_id IS NOT NULL").drop("n"), "class_id")
+    counts = places.groupBy("collection_id").agg(F.sum("n").cast("int").alias("real_count"))
     name = T.normalize(F.col("collection_name"))
     known = albums.select(
         "collection_id", F.col("collection_type").alias("a_type"), T.is_various(F.col("artist_name")).alias("a_various"), F.col("collection_name").alias("a_name"), F.col("track_count").alias("a_count"), F.lit(True).alias("known"),
@@ -59,11 +66,17 @@ def scored(requests: DataFrame, tracks: DataFrame, albums: DataFrame, pairs: Dat
 
 
 def matched(requests: DataFrame, tracks: DataFrame, albums: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """(query_id, track_id, score) of the best catalog track of each request; those under ``accept`` are misses."""
+    """(query_id, track_id, score) of the best catalog track of each request; those under ``accept`` are misses.
+
+    Tracks that differ in their ids only are one class: the smallest id wins a tie, so a class is found and scored once.
+    """
     asked = prepared(requests)
-    best = first_of(scored(asked, tracks, albums, candidates(asked, tracks)), ["query_id"], [F.desc("total"), F.col("row_id")])
+    members, classes = value_classes(tracks, "track_id", ["track_name", "artist_name", "collection_name", "track_time_millis", "isrc"], ["collection_id"])
+    places = written(members.groupBy("class_id", "collection_id").agg(F.min("track_id").alias("row_id"), F.count(F.lit(1)).alias("n")), "places")
+    own = classes.withColumnRenamed("class_id", "track_id")
+    best = first_of(scored(asked, own, places, albums, candidates(asked, own)), ["query_id"], [F.desc("total"), F.col("row_id")])
     hits = best.filter(F.col("total") >= accept).select("query_id", F.col("row_id").alias("track_id"), F.col("total").alias("score"))
-    both = hits.withColumn("way", F.lit(0)).unionByName(matched_by_isrc(asked, tracks, accept).withColumn("way", F.lit(1)))
+    both = hits.withColumn("way", F.lit(0)).unionByName(matched_by_isrc(asked, classes.withColumnRenamed("first_id", "track_id"), accept).withColumn("way", F.lit(1)))
     return first_of(both, ["query_id"], [F.col("way")]).drop("way")
 
 
