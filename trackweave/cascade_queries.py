@@ -223,13 +223,18 @@ def optional_provider(spark, sf_dir):
   SELECT o_orderkey, coalesce(nullif(own, ''), release.id) AS mb_album_id, coalesce(nullif(own, ''), release.label) AS label, CASE WHEN upper(trim(release.country)) IN ('GB', 'IT') THEN upper(trim(release.country)) ELSE '' END AS country, 'code' AS isrc FROM p""")
 def exclusive_fields(spark, sf_dir):
     """Fields filled from the release of a nested recording that fits the album."""
-    p = F.col("l_partkey")
     credit = F.array().cast("array<struct<name:string,artist:struct<id:string>>>")
-    release = F.struct(
-        "l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("r"), p.cast("string")).alias("id"), F.concat(F.lit("album "), "l_returnflag").alias("title"), F.when(p % 3 == 0, "xw").when(p % 3 == 1, " gb ").otherwise("IT").alias("country"), F.struct(F.lit("g").alias("id")).alias("release-group"),
-        F.array(F.struct(F.struct(F.when(p % 2 == 0, F.concat(F.lit("label "), F.col("l_suppkey").cast("string"))).otherwise("").alias("name")).alias("label"))).alias("label-info"), credit.alias("artist-credit"),
-    )
-    docs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(release)).alias("releases"))
+
+    def release(x: Column) -> Column:
+        p = x["l_partkey"]
+        label = F.when(p % 2 == 0, F.concat(F.lit("label "), x["l_suppkey"].cast("string"))).otherwise("")
+        return F.struct(
+            F.concat(F.lit("r"), p.cast("string")).alias("id"), F.concat(F.lit("album "), x["l_returnflag"]).alias("title"), F.when(p % 3 == 0, "xw").when(p % 3 == 1, " gb ").otherwise("IT").alias("country"), F.struct(F.lit("g").alias("id")).alias("release-group"),
+            F.array(F.struct(F.struct(label.alias("name")).alias("label"))).alias("label-info"), credit.alias("artist-credit"),
+        )
+
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")))
+    docs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(lines.alias("lines")).select("l_orderkey", F.transform("lines", release).alias("releases"))
     c = F.col("o_custkey")
     own = F.when(c % 4 == 0, "own").otherwise("")
     recording = F.struct(F.lit("id").alias("id"), F.array(F.lit("code")).alias("isrcs"), credit.alias("artist-credit"), "releases")

@@ -50,9 +50,11 @@ def exclusive_fields(df: DataFrame, valid_countries: tuple[str, ...] = T.STOREFR
     """
     doc = F.col("recording")
     wanted = T.clean_text(T.text_or_empty(F.col("album")), "album")
-    titles = F.transform(doc["releases"], lambda r: F.struct(r.alias("release"), T.clean_text(T.text_or_empty(r["title"]), "album").alias("title")))
-    fits = lambda r: (wanted != "") & (r["title"] != "") & (F.contains(r["title"], wanted) | F.contains(wanted, r["title"]))
-    release = T.once(titles, lambda all_: F.coalesce(F.get(F.filter(all_, fits), F.lit(0)), F.get(all_, F.lit(0)))["release"])
+    title = lambda r: T.clean_text(T.text_or_empty(r["title"]), "album")
+    fits = lambda w: lambda r: T.once(title(r), lambda t: (t != "") & (F.contains(t, w) | F.contains(w, t)))
+    first = F.get(doc["releases"], F.lit(0))
+    # the album's form is computed once, not per release, and titles only where there is an album to compare
+    release = T.once(wanted, lambda w: F.when(w == "", first).otherwise(F.coalesce(F.get(F.filter(doc["releases"], fits(w)), F.lit(0)), first)))
     rows = df.withColumn("release_", release)
     release = F.col("release_")
     first_id = lambda people: F.get(F.filter(F.transform(people, lambda c: T.text_or_empty(c["artist"]["id"])), lambda i: i != ""), F.lit(0))
