@@ -9,7 +9,7 @@ Candidates are stars: each member of a bucket is compared with the bucket's smal
 with the members and not with their pairs. Links are confirmed on full sets. Where a bucket is not in one connected
 component after that, the members outside its largest component are matched with those of other components too, so
 no link between members of a bucket is lost. That is done block by block: a task compares two blocks of sets at once
-and only passes on the pairs that are similar.
+and only passes on the similar pairs that connect components.
 """
 
 from __future__ import annotations
@@ -145,16 +145,36 @@ def block_pairs(left: list[dict], right: list[dict], percent: int) -> list[tuple
     return found
 
 
+def joining(pairs: list[tuple[int, int]], roots_: dict[int, int]) -> list[tuple[int, int]]:
+    """Those pairs of ids that connect what the pairs before do not: of n components at most n - 1, which connect as much as all pairs do."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for a, b in pairs:
+        x, y = top(roots_[a]), top(roots_[b])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((min(a, b), max(a, b)))
+    return out
+
+
 def level(n: Column, percent: int) -> Column:
     """Number of a size class: sets that are similar enough are in the same or in neighbouring ones."""
     return F.floor(F.log(n.cast("double")) / math.log(100.01 / percent)).cast("int")
 
 
 def rest_pairs(rest: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that are similar: of each key's members (key, rep, root, n, main) outside its main component, with its members of other components.
+    """Pairs (a, b) that connect all that are similar: of each key's members (key, rep, root, n, main) outside its main component, with its members of other components.
 
     Members of a key and size class are dealt to blocks of about BLOCK shingles and BLOCK_SETS sets, and blocks meet if
-    their sizes allow it. Members that can meet no one outside the main component are left out before ``hashes`` (doc_id,
+    their sizes allow it. Of the similar pairs of two blocks only those are passed on that connect components, so their number grows with
+    the members of the blocks and not with their pairs; no component is lost. Members that can meet no one outside the main component are left out before ``hashes`` (doc_id,
     hashes) are looked up. Each pair of blocks is a row of its own key, so that those of one bucket are spread over the tasks.
     """
     sized = rest.withColumn("level", level(F.col("n"), percent))
@@ -173,7 +193,8 @@ def rest_pairs(rest: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                found = [(min(p), max(p)) for p in block_pairs(b.column(0)[k].as_py(), b.column(1)[k].as_py(), percent)]
+                left, right = b.column(0)[k].as_py(), b.column(1)[k].as_py()
+                found = joining(block_pairs(left, right, percent), {x["rep"]: x["root"] for x in (*left, *right)})
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
     return both.select("left", "right").mapInArrow(thrifty(each), "a long, b long").distinct()
