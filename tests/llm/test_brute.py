@@ -261,3 +261,27 @@ def test_queries_keep_every_row(spark):
     for name in ("op2_language_id", "op3_line_dedup", "op4_quality_classifier", "op5_quality_rules", "op7_exact_dedup", "op8_mixing", "op9_sharding", "op10_minhash_dedup", "op12_bpe"):
         out = QUERIES[name](spark, "/root/testdata/sf0.001")
         assert out.select(F.count_distinct("doc_id")).first()[0] == n == out.count(), name
+
+
+def test_links_that_connect():
+    """Of all links of a group as many are passed on as connect it, and they connect as much."""
+    roots = {k: k - k % 2 for k in range(200)}
+    pairs = [(a, b) for a in range(200) for b in range(200) if a % 10 // 2 == b % 10 // 2 and roots[a] != roots[b]]
+    kept = minhash_dedup.joining(pairs, roots)
+    assert len(pairs) > 7000 and len(kept) == 100 - 5 and set(kept) <= {(min(p), max(p)) for p in pairs}
+    of = dict(roots)
+    for a, b in kept:
+        x, y = of[a], of[b]
+        of = {k: x if v == y else v for k, v in of.items()}
+    assert len(set(of.values())) == 5 and all(of[a] == of[b] for a, b in pairs)
+
+
+def test_packing_cuts_alike():
+    """The quicker pattern cuts pre-tokens as the plain one does."""
+    import tiktoken
+
+    ranks, rng = token_packing.load_ranks(token_packing.RANKS), random.Random(3)
+    plain, quick = (tiktoken.Encoding("t", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (token_packing.PATTERN, token_packing.SAME_CUTS))
+    for _ in range(20_000):
+        text = "".join(rng.choice(" \n\t\r  'sdmtlvrea1²٣é中!?#\u0085 \x1c") for _ in range(rng.randint(0, 14)))
+        assert plain.encode_ordinary(text) == quick.encode_to_numpy(text, disallowed_special=()).tolist()

@@ -23,6 +23,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
 #: Pattern of pre-tokens that the ranks were made for (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same cuts by a pattern that does not go back (a fixed value).
+SAME_CUTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Tokens of a row, and tokens that a task packs together.
 ROW, BLOCK = 2048, 1 << 20
 
@@ -92,32 +94,42 @@ def pack_rows(docs: DataFrame, ranks: dict[bytes, int], end: int = END, length:
 
     def block(ids: list, tokens: list[np.ndarray]) -> pa.RecordBatch:
         pieces = [(i, s, t[s : s + length]) for i, t in zip(ids, tokens) for s in range(0, len(t), length)]
-        out: list[list] = [[], [], [], []]
-        for row in packed([len(p[2]) for p in pieces], length):
+        rows = packed([len(p[2]) for p in pieces], length)
+        grid = np.full((len(rows), length), end, "<i4")
+        out: list[list] = [[], [], []]
+        for line, row in zip(grid, rows):
             own = [pieces[k] for k in row]
-            flat = np.concatenate([p[2] for p in own])
-            out[0].append(np.concatenate([flat, np.full(length - len(flat), end, np.int32)]))
-            out[1].append(np.concatenate([[0], np.cumsum([len(p[2]) for p in own])]).astype(np.int32))
-            out[2].append([p[0] for p in own])
-            out[3].append([p[1] for p in own])
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32())
-        raw = pa.array([x.astype("<i4").tobytes() for x in out[0]], pa.binary())
-        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.list_(k)) for c, k in zip(out, kinds)], raw], ["ids", "cumulative", "doc_ids", "starts", "raw"])
+            cumulative = np.concatenate([[0], np.cumsum([len(p[2]) for p in own])]).astype(np.int32)
+            line[: cumulative[-1]] = np.concatenate([p[2] for p in own])
+            out[0].append(cumulative)
+            out[1].append([p[0] for p in own])
+            out[2].append([p[1] for p in own])
+        # all rows have one length, so the lists and the binary values are slices of the grid as it lies in memory
+        bounds = np.arange(len(rows) + 1, dtype=np.int32) * length
+        filled = pa.ListArray.from_arrays(pa.array(bounds), pa.array(grid.ravel()))
+        raw = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(bounds * 4), pa.py_buffer(grid)])
+        kinds = (pa.int32(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([filled, *[pa.array(c, pa.list_(k)) for c, k in zip(out, kinds)], raw], ["ids", "cumulative", "doc_ids", "starts", "raw"])
+
+    def ended(ids: np.ndarray) -> np.ndarray:
+        out = np.empty(len(ids) + 1, np.int32)
+        out[:-1], out[-1] = ids, end
+        return out
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         data = shared.value
         if "encoding" not in data:  # kept beside the broadcast data, so it is built once in each Python worker
-            data["encoding"] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=data["ranks"], special_tokens={})
-        encode = data["encoding"].encode_ordinary
+            data["encoding"] = tiktoken.Encoding("own", pat_str=SAME_CUTS, mergeable_ranks=data["ranks"], special_tokens={})
+        encode = data["encoding"].encode_to_numpy  # numbers in an array, not Python's; there are no special tokens to look for
         ids: list = []
         tokens: list[np.ndarray] = []
         size = 0
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids.append(i)
-                tokens.append(np.array([*encode(t or ""), end], np.int32))
+                tokens.append(ended(encode(t or "", disallowed_special=())))
                 size += len(tokens[-1])
                 if size >= BLOCK:
                     yield block(ids, tokens)
